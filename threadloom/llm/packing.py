@@ -23,46 +23,82 @@ from threadloom.llm.common import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that are kept with their ids in a Python worker, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+CACHED_WORDS, CACHED_BYTES = 1_500_000, 64
+_ENDS = b".,;:!?)"
+
+
+def _byte_letters() -> list[str]:
+    """The characters by which byte-level vocabularies write the 256 bytes: printable Latin-1 bytes stand
+    for themselves, the others follow from code point 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(own))}
+    return [chr(rest.get(b, b)) for b in range(256)]
 
 
 class WordIds(dict):
     """Token ids of a word as little-endian 32-bit bytes. White space never joins two words' tokens,
-    so a text's ids are those of its words in turn."""
+    so a text's ids are those of its words in turn. A word's ids are those of its letters followed by
+    those of its last punctuation mark, since the vocabulary's rule parts letters from marks."""
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if word[-1:] in _ENDS and word[-2:-1].isalpha() and b"<" not in word:
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0130":  # letters that no normal form changes: straight to the model
+                text = text.lower()
+                if not text.isascii():
+                    text = "".join(map(self.letters.__getitem__, text.encode()))
+                found = [t.id for t in self.model.tokenize(text)]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = np.asarray(found, "<u4").tobytes()
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
-    def of(self, text: str | None) -> bytes:
+    def of(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        if b"<|" not in text:  # else case may matter: special tokens are found before letters are lowered
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Ids of each document followed by ``end_id``, cut into pieces of at most ``capacity``.
+_OPEN: dict[str, WordIds] = {}
 
-    A null text counts as empty and gives the one-token piece ``end_id``; repeated rows give repeated
-    pieces. ``tokenizer`` is a file, or the bare name of one of the installed public vocabularies.
-    """
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_ids(tokenizer: str) -> WordIds:
+    """One per Python worker and vocabulary; it lives on from task to task. ``tokenizer`` is a file, or
+    the bare name of one of the installed public vocabularies."""
+    if tokenizer not in _OPEN:
         file = tokenizer
         if "/" not in file:
             import public_tokenizers
 
             file = str(public_tokenizers.path(file))
-        words, end = WordIds(file), np.asarray([end_id], "<u4").tobytes()
+        _OPEN[tokenizer] = WordIds(file)
+    return _OPEN[tokenizer]
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Ids of each document followed by ``end_id``, cut into pieces of at most ``capacity``.
+
+    A null text counts as empty and gives the one-token piece ``end_id``; repeated rows give repeated
+    pieces.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = word_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for b in it:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -73,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, PIECES)
 
 
 class CapacityTree:
