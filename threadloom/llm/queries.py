@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import embedding_dedup, jaccard, mixing, packing, topk, urls
+from threadloom.llm import embedding_dedup, jaccard, mixing, packing, topk, toxicity, urls
 from threadloom.llm.common import table
 
 
@@ -30,9 +30,14 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op7_embedding_near_dedup, op9_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op7_embedding_near_dedup, op8_toxicity, op9_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op4_url_filter": urls.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}
