@@ -3,7 +3,7 @@
 1. Documents with one and the same shingle set become one node, so copies cost nothing later.
 2. Shingles are hashed into groups. Sets with similarity t differ in few shingles, so that, with more
    groups than differences, one group is alike in both; the contents of the groups are the keys under
-   which nodes meet (a bucket). Shingles that a thousandth of all sets hold are no keys by themselves.
+   which nodes meet (a bucket). Shingles that more than 3 in 10,000 sets hold are no keys by themselves.
 3. In each bucket the group counts are points of an R-tree, and summed coordinate minima bound the
    overlap of two boxes or points. Points that pass are plausible; buckets give spanning forests of
    plausible pairs, and their components hold every link.
@@ -28,7 +28,7 @@ from threadloom.llm.graph import Forest, components
 from threadloom.llm.shingles import PLACES, Shingler, mixed, set_key
 
 #: A shingle is common from this share of the sets on; the list of such shingles is at most the mean set size over it.
-COMMON = 0.001
+COMMON = 0.0003
 #: Points in a tile of a bucket; shingles in a tile of a component.
 TILE_POINTS, TILE_SHINGLES = 4096, 400_000
 LEAF, FAN = 32, 8
@@ -162,7 +162,7 @@ def describe(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                         rows.append((1, None, len(h), node, level, over, counts.tobytes()))
             if sets:
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
-                often = times >= max(8, len(sets) // 200)
+                often = times >= max(4, len(sets) // 2000)
                 rows += [(2, None, k, x, None, None, None) for x, k in zip(found[often].view(np.int64).tolist(), times[often].tolist(), strict=True)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
