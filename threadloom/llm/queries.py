@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import embedding_dedup, jaccard, mixing, packing, topk, toxicity, urls
+from threadloom.llm import embedding_dedup, html_text, jaccard, mixing, packing, quality, topk, toxicity, urls
 from threadloom.llm.common import table
 
 
@@ -26,6 +26,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.trained())
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -39,5 +48,5 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op7_embedding_near_dedup, op8_toxicity, op9_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op5_quality, op6_html_main_text, op7_embedding_near_dedup, op8_toxicity, op9_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op4_url_filter": urls.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}
