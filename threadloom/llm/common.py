@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,28 @@ def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]
 def crc_fold(column: Column) -> Column:
     """The remainder by 5 of the CRC-32 of an id as text, which decides the held-out fold."""
     return F.crc32(column.cast("string").cast("binary")) % 5
+
+
+#: Bits of the map by which rows are left out before they are shuffled: 4 MB, a fixed size.
+MARKS = 1 << 25
+
+
+def mark(key: Column) -> Column:
+    """The bit of a key in a bitmap."""
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(MARKS)), F.lit(0)).cast("int")
+
+
+def marked(df: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of ``MARKS`` bits, however many the rows, with the bits of their keys. It may cover too
+    much, never too little: the join that follows stays exact."""
+    bits = df.select(mark(F.col(key)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
+    out = np.zeros(MARKS // 64, np.uint64)
+    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits")).toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def rows_marked(bits: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Numbers of the rows whose bit is set."""
+    bit = bits.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.flatnonzero(marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, written
+from threadloom.llm.common import batches, mark, marked, rows_marked, written
 from threadloom.llm.graph import Forest, components
 from threadloom.llm.shingles import PLACES, Shingler, mixed, set_key
 
@@ -32,8 +32,6 @@ COMMON = 0.0003
 #: Points in a tile of a bucket; shingles in a tile of a component.
 TILE_POINTS, TILE_SHINGLES = 4096, 400_000
 LEAF, FAN = 32, 8
-#: Bits of the map by which texts are left out before they are shuffled: 4 MB, a fixed size.
-MARKS = 1 << 25
 _LOW = np.uint64(63)
 
 
@@ -330,27 +328,13 @@ def sets_of(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for b in it:
-            bit = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.flatnonzero(marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+            rows = rows_marked(b.column(2), marks)
             for k in range(0, len(rows), 500):
                 own = b.take(pa.array(rows[k : k + 500]))
                 sets = [shingler.set_of(x.as_py()) for x in own.column(1)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([set_key(h) if len(h) else 0 for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "node", "packed"])
 
-    return docs.select("doc_id", "text", _mark(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, node long, packed binary")
-
-
-def _mark(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(MARKS)), F.lit(0)).cast("int")
-
-
-def marked(docs: DataFrame) -> np.ndarray:
-    """A bitmap of ``MARKS`` bits, however many the documents, with the bits of their ids."""
-    bits = docs.select(_mark(F.col("doc_id")).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
-    out = np.zeros(MARKS // 64, np.uint64)
-    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits")).toArrow()
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
+    return docs.select("doc_id", "text", mark(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, node long, packed binary")
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -382,7 +366,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     nodes = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     candidates = written(groups.join(nodes, "node").select("node", "doc_id", "n", F.col("component").alias("group")), "candidates")
     weights = candidates.groupBy("group").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
-    sets = sets_of(docs, size, marked(candidates)).join(candidates.select("doc_id", "node", "group"), ["doc_id", "node"])
+    sets = sets_of(docs, size, marked(candidates, "doc_id")).join(candidates.select("doc_id", "node", "group"), ["doc_id", "node"])
     sets = tiled(sets.join(weights, "group"), "group", "node", F.col("blocks"), 2 * parts)
     links = sets.select("part", "tile", "node", "packed").groupBy("part").applyInArrow(lambda t: verified(t, threshold), "a long, b long")
     labels = components(links)

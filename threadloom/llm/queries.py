@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import embedding_dedup, html_text, jaccard, mixing, packing, quality, topk, toxicity, urls
+from threadloom.llm import embedding_dedup, html_text, jaccard, mixing, packing, quality, suffix_dedup, topk, toxicity, urls
 from threadloom.llm.common import table
 
 
@@ -48,5 +48,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op5_quality, op6_html_main_text, op7_embedding_near_dedup, op8_toxicity, op9_exact_top_k)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_mixing, op4_url_filter, op5_quality, op6_html_main_text, op7_embedding_near_dedup, op8_toxicity, op9_exact_top_k, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op4_url_filter": urls.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}
