@@ -1,10 +1,409 @@
-"""Registered queries of the conversation engine and their equals in SQL."""
+"""Registered queries of the conversation engine over whole tables, and their equals in DuckDB SQL.
+
+``documents`` stand in for stored chunks (source for the project), ``embeddings`` for their vectors
+(vec_id for the chunk), ``conversations`` for transcripts.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.functions import text as T
+from threadloom.functions.redact import redact
+from threadloom.operators import retrieval
+from threadloom.operators.chunks import split_column
+from threadloom.operators.embedding import embed
+from threadloom.operators.turns import turns_of, window_around
+from threadloom.plans import incremental
+from threadloom.sources.transcripts import conversation_events, parse_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The query vector of the dense queries, and the terms of the sparse ones, which can't overlap themselves.
+VECTOR = [((k * 37) % 64 - 31.5) / 64 for k in range(64)]
+TERMS, RARE = "the and", "whe"
+PROJECT, LABEL, LIMIT = "src3", 3, 10
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns_of(conversation_events(_table(spark, sf_dir, "conversations")))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("project_path"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[ \t\r]+(\n)', '\1', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+TURNS_SQL = f"""
+ev AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS line, role, {_CLEAN.format("coalesce(text, '')")} AS t FROM conversations WHERE role IN ('user', 'assistant')),
+num AS (SELECT *, sum(CASE WHEN role = 'user' AND t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line) AS n FROM ev),
+turns AS (SELECT session_id, CAST(n - 1 AS BIGINT) AS turn_index, max(CASE WHEN role = 'user' THEN t END) AS "user",
+  coalesce(string_agg(CASE WHEN role = 'assistant' AND t <> '' THEN t END, chr(10) || chr(10) ORDER BY line), '') AS assistant,
+  CAST(min(CASE WHEN role = 'user' THEN line END) AS BIGINT) AS line_start, CAST(max(line) AS BIGINT) AS line_end
+  FROM num WHERE n > 0 AND (role = 'assistant' OR t <> '') GROUP BY session_id, n),
+rendered AS (SELECT *, 'User: ' || "user" || CASE WHEN assistant <> '' THEN chr(10) || chr(10) || 'Assistant: ' || assistant ELSE '' END AS text FROM turns)
+"""
+
+
+@query(f'WITH {TURNS_SQL} SELECT session_id, turn_index, "user", assistant, line_start, line_end FROM turns')
+def turns_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAR1, PAR2, WIN2, AGG4, AGG5."""
+    return _turns(spark, sf_dir).select("session_id", "turn_index", "user", "assistant", "line_start", "line_end")
+
+
+@query(
+    f"""WITH {TURNS_SQL}, f AS (SELECT *, split_part("user", chr(10), 1) AS first FROM rendered)
+SELECT session_id, turn_index, text, CASE WHEN first = '' THEN 'Conversation' WHEN length(first) <= 80 THEN first ELSE rtrim(substr(first, 1, 79)) || '...' END AS title,
+  CAST(greatest(1, len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS token_count FROM f"""
+)
+def turns_render_title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT13-TXT15."""
+    text = T.render_turn(F.col("user"), F.col("assistant"), F.col("tool_summary"))
+    return _turns(spark, sf_dir).select("session_id", "turn_index", text.alias("text"), T.title(F.col("user")).alias("title"), T.token_count(text).alias("token_count"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT session_id, turn_index, substr(sha256(text), 1, 16) AS content_hash FROM rendered")
+def chunk_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT16."""
+    text = T.render_turn(F.col("user"), F.col("assistant"), F.col("tool_summary"))
+    return _turns(spark, sf_dir).select("session_id", "turn_index", T.content_hash(text).alias("content_hash"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT concat_ws(':', session_id, line_start, turn_index + 1, 1, substr(sha256(text), 1, 16)) AS chunk_uid, session_id FROM rendered")
+def chunk_uid_single_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK1 for turns of one part."""
+    text = T.render_turn(F.col("user"), F.col("assistant"), F.col("tool_summary"))
+    uid = F.concat_ws(":", "session_id", "line_start", F.col("turn_index") + 1, F.lit(1), T.content_hash(text))
+    return _turns(spark, sf_dir).select(uid.alias("chunk_uid"), "session_id")
+
+
+@query()
+def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK2-CHK5."""
+    parts = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_column(F.col("text"), 800)).alias("part_index", "part"))
+    return parts.withColumn("n_chars", F.length("part"))
+
+
+@query(f"SELECT doc_id, {_CLEAN.format('text')} AS cleaned, length({_CLEAN.format('text')}) AS n_chars FROM documents")
+def clean_text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT1-TXT3."""
+    cleaned = T.clean_text(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", cleaned.alias("cleaned"), F.length(cleaned).cast("bigint").alias("n_chars"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS x FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(x) <= 120 THEN x ELSE x[:80] || ['[long output omitted]'] || x[-20:] END AS y FROM l)
+SELECT doc_id, array_to_string(list_transform(y, lambda s: CASE WHEN length(s) <= 500 THEN rtrim(s) ELSE rtrim(substr(s, 1, 500)) || ' [truncated]' END), chr(10)) AS cleaned FROM d"""
+)
+def drop_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT10, TXT11."""
+    return _table(spark, sf_dir, "documents").select("doc_id", T.truncate_lines(T.drop_long_logs(F.col("text"))).alias("cleaned"))
+
+
+_SECRET = r'''(?i)(\b(?:[a-z0-9]+[_-])*(?:secret[_-]?access[_-]?key|access[_-]?key[_-]?id|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|api[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|token|secret|password|passwd|pwd)\s*[:=]\s*)(?:(")[^"]*"|(\x27)[^\x27]*\x27|[^\s\x27"`]+)'''
+_ENV = r"""(\b(?:export\s+)?[A-Z][A-Z0-9_]+=)(?:(")[^"]*"|(\x27)[^\x27]*\x27|[^\s\x27"`;$]+)"""
+REDACTED_SQL = rf"regexp_replace(regexp_replace(text, '{_ENV}', '\1\2\3<redacted>\2\3', 'g'), '{_SECRET}', '\1\2\3<redacted>\2\3', 'g')"
+
+
+@query(f"SELECT doc_id, {REDACTED_SQL} AS redacted FROM documents")
+def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RED2-RED15. No token pattern but assignments occurs in the tables, so the SQL has those two."""
+    return _table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("redacted"))
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (text IS DISTINCT FROM {REDACTED_SQL}) AS BIGINT) AS n_changed FROM documents")
+def redact_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK11, AGG8."""
+    return _table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("text").eqNullSafe(redact(F.col("text")))).alias("n_changed"))
+
+
+@query("SELECT r_name AS name, '/' || replace(r_name, ' ', '/') AS decoded FROM region UNION ALL SELECT n_name, n_name FROM nation")
+def decode_project_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5."""
+    regions = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("-"), F.replace("r_name", F.lit(" "), F.lit("-"))).alias("dir"))
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("dir"))
+    return regions.unionByName(nations).select("name", T.decode_project(F.col("dir")).alias("decoded"))
+
+
+_Q = "[" + ", ".join(repr(x) for x in VECTOR) + "]::DOUBLE[]"
+DISTANCE_SQL = f"dist AS (SELECT vec_id AS chunk_id, label, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), {_Q}) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product({_Q}, {_Q}))) AS distance FROM embeddings)"
+
+
+def _nearest(spark: SparkSession, sf_dir: str, exact: bool | None) -> DataFrame:
+    known = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("project_path"))
+    project = None if exact is None else LABEL
+    return retrieval.dense(_vectors(spark, sf_dir), known, VECTOR, LIMIT, project, bool(exact)).select("chunk_id", F.round("distance", 9).alias("distance"))
+
+
+@query(f"WITH {DISTANCE_SQL} SELECT chunk_id, round(distance, 9) AS distance FROM dist ORDER BY dist.distance, chunk_id LIMIT 10")
+def dense_knn_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN1."""
+    return _nearest(spark, sf_dir, None)
+
+
+@query(
+    f"""WITH {DISTANCE_SQL}, wide AS (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS k FROM dist)
+SELECT chunk_id, round(distance, 9) AS distance FROM wide
+WHERE label = {LABEL} AND k <= greatest({LIMIT}, least((SELECT count(*) FROM embeddings WHERE label = {LABEL}), 2000)) ORDER BY wide.distance, chunk_id LIMIT {LIMIT}"""
+)
+def dense_knn_scoped_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN2: cut first, filtered then."""
+    return _nearest(spark, sf_dir, False)
+
+
+@query(f"WITH {DISTANCE_SQL} SELECT chunk_id, round(distance, 9) AS distance FROM dist WHERE label = {LABEL} ORDER BY dist.distance, chunk_id LIMIT {LIMIT}")
+def dense_knn_scoped_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN2: filtered first."""
+    return _nearest(spark, sf_dir, True)
+
+
+def _bm25_sql(terms: list[str], where: str = "true", limit: int = LIMIT, name: str = "sparse") -> str:
+    count = "CAST((length(t) - length(replace(t, '{0}', ''))) // length('{0}') AS DOUBLE)"
+    held = " AND ".join(f"contains(t, '{x}')" for x in terms)
+    n = ", ".join(f"CAST(count(*) FILTER (contains(t, '{x}')) AS DOUBLE) AS n{k}" for k, x in enumerate(terms))
+    idf = "CASE WHEN ln((n - n{0} + 0.5) / (n{0} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{0} + 0.5) / (n{0} + 0.5)) END"
+    part = " + ".join(f"({idf.format(k)}) * ({count.format(x)} * 2.2 / ({count.format(x)} + 1.2 * (0.25 + 0.75 * size / mean)))" for k, x in enumerate(terms))
+    return f"""low AS (SELECT doc_id AS chunk_id, source, lower(text) AS t, CAST(greatest(length(text) - 2, 0) AS DOUBLE) AS size FROM documents),
+stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(size) AS mean, {n} FROM low),
+{name} AS (SELECT chunk_id, -({part}) AS bm25 FROM low, stats WHERE {held} AND {where} ORDER BY bm25, chunk_id LIMIT {limit})"""
+
+
+def _sparse(spark: SparkSession, sf_dir: str, terms: str, project: str | None = None) -> DataFrame:
+    return retrieval.sparse(_chunks(spark, sf_dir), terms, LIMIT, project).select("chunk_id", F.round("bm25", 9).alias("bm25"))
+
+
+@query(f"WITH {_bm25_sql([RARE])} SELECT chunk_id, round(bm25, 9) AS bm25 FROM sparse")
+def sparse_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS1-FTS3."""
+    return _sparse(spark, sf_dir, RARE)
+
+
+@query(f"WITH {_bm25_sql(TERMS.split())} SELECT chunk_id, round(bm25, 9) AS bm25 FROM sparse")
+def sparse_multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS1-FTS3: all terms must occur."""
+    return _sparse(spark, sf_dir, TERMS)
+
+
+@query("SELECT doc_id AS chunk_id, 0.0::DOUBLE AS bm25 FROM documents WHERE false")
+def sparse_short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS2: terms under three characters find nothing."""
+    return _sparse(spark, sf_dir, "a of to")
+
+
+@query(f"WITH {_bm25_sql([RARE], f"source = '{PROJECT}'")} SELECT chunk_id, round(bm25, 9) AS bm25 FROM sparse")
+def sparse_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS1 with a project; statistics stay those of all rows."""
+    return _sparse(spark, sf_dir, RARE, PROJECT)
+
+
+HYBRID_SQL = f"""{DISTANCE_SQL}, {_bm25_sql(TERMS.split(), limit=40)},
+near AS (SELECT chunk_id, distance FROM (SELECT * FROM dist ORDER BY distance, chunk_id LIMIT 40) JOIN (SELECT doc_id AS chunk_id FROM documents) USING (chunk_id)),
+nr AS (SELECT *, CAST(row_number() OVER (ORDER BY distance, chunk_id) AS INTEGER) AS dense_rank FROM near),
+sr AS (SELECT *, CAST(row_number() OVER (ORDER BY bm25, chunk_id) AS INTEGER) AS sparse_rank FROM sparse),
+fused AS (SELECT coalesce(nr.chunk_id, sr.chunk_id) AS chunk_id, dense_rank, sparse_rank, distance, bm25,
+  coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS score, least(dense_rank, sparse_rank) AS best_rank FROM nr FULL JOIN sr ON nr.chunk_id = sr.chunk_id),
+top AS (SELECT * FROM fused ORDER BY score DESC, best_rank, chunk_id LIMIT {LIMIT})"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid(_chunks(spark, sf_dir), _vectors(spark, sf_dir), TERMS, VECTOR, LIMIT)
+
+
+@query(f"WITH {HYBRID_SQL} SELECT chunk_id, dense_rank, sparse_rank, round(score, 9) AS score, best_rank FROM top")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RRF1, RRF2, JON3."""
+    return _hybrid(spark, sf_dir).select("chunk_id", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"), "best_rank")
+
+
+@query(f"WITH {HYBRID_SQL} SELECT top.chunk_id, d.source AS project_path, d.text, round(top.score, 9) AS score, round(top.distance, 9) AS distance, round(top.bm25, 9) AS bm25 FROM top JOIN documents d ON d.doc_id = top.chunk_id")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HYB1, the flagship."""
+    return _hybrid(spark, sf_dir).select("chunk_id", "project_path", "text", F.round("score", 9).alias("score"), F.round("distance", 9).alias("distance"), F.round("bm25", 9).alias("bm25"))
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(min(vec_id) AS BIGINT) AS first_id FROM embeddings GROUP BY label")
+def project_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG2 for every project."""
+    return _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+LINE, CONTEXT = 3, 1
+
+
+@query(
+    f"""WITH {TURNS_SQL}, w AS (SELECT *, coalesce(min(CASE WHEN line_start >= {LINE} THEN turn_index END) OVER (PARTITION BY session_id), max(turn_index) OVER (PARTITION BY session_id)) AS target FROM turns)
+SELECT session_id, turn_index, "user", assistant FROM w WHERE abs(turn_index - target) <= {CONTEXT}"""
+)
+def expand_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API2, WIN3 for every session."""
+    return window_around(_turns(spark, sf_dir), LINE, CONTEXT).select("session_id", "turn_index", "user", "assistant")
+
+
+@query(f"""WITH {TURNS_SQL} SELECT turn_index, "user", assistant, line_start, line_end FROM turns WHERE session_id = '7' ORDER BY turn_index""")
+def read_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API3, SRT5."""
+    return _turns(spark, sf_dir).where("session_id = '7'").select("turn_index", "user", "assistant", "line_start", "line_end").orderBy("turn_index")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("session_id"))
+    lines = text.agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    body = F.array_join(F.transform("x", lambda r: r["text"]), "\n")
+    return lines.select("session_id", F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("bigint").alias("size"), F.size("x").cast("bigint").alias("n_lines"))
+
+
+SESSIONS_SQL = "s AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS sha256, CAST(strlen(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS n_lines FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT * FROM s ORDER BY size DESC, session_id LIMIT 20")
+def list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API4, SRT4: a top-k list with a tie-break."""
+    return _sessions(spark, sf_dir).orderBy(F.desc("size"), "session_id").limit(20)
+
+
+@query(f"WITH {TURNS_SQL} SELECT CAST(count(DISTINCT session_id) AS BIGINT) AS sessions, CAST(count(*) AS BIGINT) AS chunks FROM turns")
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG1, API10."""
+    return _turns(spark, sf_dir).agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("chunks"))
+
+
+@query(
+    f"""WITH {SESSIONS_SQL} SELECT session_id, sha256 FROM s
+WHERE NOT (CAST(session_id AS BIGINT) % 3 = 0)"""
+)
+def session_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT7, JON8: every third session is stored with the same marks, the next without a signature."""
+    files = _sessions(spark, sf_dir).withColumns({"mtime": F.lit("2026-05-13T01:02:03+00:00"), "index_sig": F.lit("v1")})
+    third = F.col("session_id").cast("bigint") % 3
+    stored = files.where(third < 2).withColumn("index_sig", F.when(third == 0, F.col("index_sig")))
+    return incremental.out_of_date(files, stored).select("session_id", "sha256")
+
+
+UIDS_SQL = "uids AS (SELECT concat_ws(':', session_id, line_start, turn_index + 1, 1, substr(sha256(text), 1, 16)) AS chunk_uid, session_id, turn_index FROM rendered)"
+_BEFORE_SQL = TURNS_SQL.replace("FROM conversations WHERE", "FROM (SELECT * FROM conversations QUALIFY turn < max(turn) OVER (PARTITION BY conv_id)) WHERE")
+OLD_SQL = "o AS (WITH " + _BEFORE_SQL + ", " + UIDS_SQL + " SELECT * FROM uids)"
+
+
+def _uids(conversations: DataFrame) -> DataFrame:
+    turns = turns_of(conversation_events(conversations))
+    text = T.render_turn(F.col("user"), F.col("assistant"), F.col("tool_summary"))
+    return turns.select(F.concat_ws(":", "session_id", "line_start", F.col("turn_index") + 1, F.lit(1), T.content_hash(text)).alias("chunk_uid"), "session_id")
+
+
+def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The conversations without their last turns, and as they are."""
+    now = _table(spark, sf_dir, "conversations")
+    last = now.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    return _uids(now.join(last, "conv_id").where("turn < last").drop("last")), _uids(now)
+
+
+_NEW_SQL = f"WITH {TURNS_SQL}, {UIDS_SQL}, {OLD_SQL}"
+
+
+@query(f"{_NEW_SQL} SELECT chunk_uid, session_id FROM uids WHERE chunk_uid NOT IN (SELECT chunk_uid FROM o)")
+def incremental_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON6, SET1, SET2."""
+    old, new = _old_and_new(spark, sf_dir)
+    return incremental.fresh(new, old).select("chunk_uid", "session_id")
+
+
+@query(f"{_NEW_SQL} SELECT chunk_uid, session_id FROM o WHERE chunk_uid NOT IN (SELECT chunk_uid FROM uids)")
+def incremental_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON7, SET1."""
+    old, new = _old_and_new(spark, sf_dir)
+    return incremental.stale(old, new).select("chunk_uid", "session_id")
+
+
+@query(f"{_NEW_SQL} SELECT chunk_uid, session_id FROM o WHERE chunk_uid IN (SELECT chunk_uid FROM uids)")
+def incremental_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: rows that stay as they are."""
+    old, new = _old_and_new(spark, sf_dir)
+    return incremental.kept(old, new).select("chunk_uid", "session_id")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8, JON9: deleting sessions takes their rows."""
+    rows = _table(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id"))
+    return incremental.without(rows, rows.where("role = 'system'")).select("conv_id", "turn", "role")
+
+
+@query(f"SELECT CASE WHEN source = '{PROJECT}' THEN 'moved' ELSE source END AS project_path, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1")
+def migrate_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK10."""
+    return incremental.renamed(_chunks(spark, sf_dir), PROJECT, "moved").groupBy("project_path").agg(F.count("*").alias("n"))
+
+
+@query()
+def stub_embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMB5, EMB6 over conversation texts."""
+    from threadloom.config import Embedding
+
+    vectors = _table(spark, sf_dir, "conversations").select("conv_id", "turn", embed(F.coalesce("text", F.lit("")), Embedding(dimension=64)).alias("v"))
+    norm = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, b: a + b)
+    return vectors.select("conv_id", "turn", F.size("v").alias("width"), F.round(F.sqrt(norm), 4).alias("norm"))
+
+
+@query(ORACLE_SQL["turns_grouped"])
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6, PAR1-PAR9: conversations written as JSON lines and parsed."""
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    lines = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") + 1).alias("line"), event.alias("text"))
+    return turns_of(parse_lines(lines)).select("session_id", "turn_index", "user", "assistant", "line_start", "line_end")
+
+
+@query(
+    "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0), "
+    "d AS (SELECT query_id, vec_id, 1 - list_dot_product(e, qe) / sqrt(list_dot_product(e, e) * list_dot_product(qe, qe)) AS distance FROM q JOIN v ON vec_id <> query_id) "
+    "SELECT query_id, vec_id, round(distance, 9) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.distance, vec_id) <= 10"
+)
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN1 for many queries at once, O9: every hundredth vector against all, the queries in a block."""
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    add = lambda a, b: a + b
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), add)
+    apart = 1 - dot(F.col("e"), F.col("qe")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("qe"), F.col("qe")))
+    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", apart.alias("distance"))
+    return pairs.withColumn("_rank", F.expr("row_number() over (partition by query_id order by distance, vec_id)")).where("_rank <= 10").select("query_id", "vec_id", F.round("distance", 9).alias("distance"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT session_id, CAST(count(*) AS BIGINT) AS n_turns FROM turns GROUP BY session_id")
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1-STR3: conversations read as a stream into turns by micro-batches, in one pass."""
+    source = f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(source).schema
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:10]}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        turns_of(conversation_events(rows)).groupBy("session_id").agg(F.count("*").alias("n_turns")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("session_id", "n_turns")
