@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,17 +44,18 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` into the shared folder and reads it again, so that a lost
     executor costs a read and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     _WRITTEN.append((spark, path))
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    df.write.parquet(path)
+    del df
+    gc.collect()  # what led here isn't needed any more: lets the cleaner drop its shuffle files
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

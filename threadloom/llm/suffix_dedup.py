@@ -1,6 +1,6 @@
 """Operator 10, removal of repeated byte strings by a run-length index.
 
-Every 50-byte window of a text belongs to its anchor, the least of its 14-byte hashes; equal windows
+Every 50-byte window of a text belongs to its anchor, the least of its 20-byte hashes; equal windows
 have equal anchors. A run of neighbouring windows with one anchor is a span.
 1. Spans meet by anchor. Where a smaller document has the same span, all its windows are repeats.
    Anchors that one document (text) alone has are done. What is the same within a batch is settled there.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import batches, mark, marked, rows_marked, written
 from threadloom.llm.shingles import mixed
 
-WIDTH, GRAM = 50, 14
+WIDTH, GRAM = 50, 20
 SPREAD = WIDTH - GRAM + 1
 #: Documents taken together; an anchor that more than one in HOT of them holds is dealt out by windows, as is one with MANY spans.
 BATCH, HOT, MANY = 1024, 64, 4096
@@ -460,9 +460,9 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 16_000_000)
     firsts = written(base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
-    found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), 2 * parts), "spans")
+    found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), parts), "spans")
     marks = found.where(F.col("kind") == REPEAT).select("doc_id", "text_hash", "spans")
-    marks = marks.unionByName(by_index(contexts(docs, found, INDEX), 2 * parts)).unionByName(by_windows(contexts(docs, found, WINDOWS), 2 * parts))
+    marks = marks.unionByName(by_index(contexts(docs, found, INDEX), max(4 * parts, total // 2_000_000))).unionByName(by_windows(contexts(docs, found, WINDOWS), 4 * parts))
     marks = written(marks, "marks")
     own = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
     cut = cut_texts(texts_of(docs, own, marked(marks, "text_hash")), with_text).dropDuplicates(["doc_id", "text_hash"])
