@@ -183,7 +183,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], shape)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
     path = F.regexp_replace("path", r"\Afile:/+", "/")
-    first = F.slice(F.split(F.decode("content", "UTF-8"), "\n"), 1, CWD_LINES)
+    first = F.slice(F.split(F.expr("try_validate_utf8(cast(content as string))"), "\n"), 1, CWD_LINES)
     told = F.filter(F.transform(first, lambda x: F.get_json_object(x, "$.cwd")), lambda x: x.isNotNull())
     utc = F.to_utc_timestamp("modificationTime", F.current_timezone())
     found = files.select(
@@ -201,7 +201,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 def transcript_lines(files: DataFrame) -> DataFrame:
     """SRC6: numbered lines of transcripts; of files that aren't UTF-8 one line that is no JSON."""
-    text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8")).otherwise(F.lit("\ufffd"))
+    text = F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.lit("\ufffd"))
     split = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
     return files.select("session_id", F.posexplode(split).alias("_pos", "text")).select("session_id", (F.col("_pos") + 1).alias("line"), F.regexp_replace("text", r"\r\z", "").alias("text"))
 
