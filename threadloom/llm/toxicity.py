@@ -12,6 +12,7 @@ toxic window's margin, over the whole text.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -24,18 +25,28 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import batches, crc_fold
 
-LENGTH, SPAN, DECAY = 4, 7, 0.8
+LENGTH, SPAN, DECAY = 4, 7, 0.85
 #: The labelled sample that is fitted at most, per label; landmarks at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, LANDMARKS = 1000, 5000, 48
 #: Factor for each white space that a subsequence spans, but for those of a word spelt out by single letters.
 ACROSS = 0.6
 #: A window is two buckets of this many characters; windows below the least kernel value count as none.
-BUCKET, LEAST = 8, 0.3
+BUCKET, LEAST = 8, 0.25
 _PATTERNS = [(0, *c) for c in combinations(range(1, SPAN), LENGTH - 1)]
 #: Characters of a text that are taken at a time, with an overlap; bounds memory, drops nothing.
 _CHUNK = 1 << 18
 
 
+_SPELT = re.compile(r"(?<!\w)(?:\w[^\w\n]){3,}\w(?!\w)")
+_MARKS = re.compile(r"\W")
+
+
+def spelt(text: str) -> str:
+    """A text, followed by the words that it spells out letter by letter."""
+    found = _SPELT.findall(text)
+    return " ".join([text, *(_MARKS.sub("", x) for x in found)]) if found else text
+
+
 def subsequences(word: str) -> dict[str, float]:
     """Terms of the kernel's feature map: subsequence to weight."""
     out: dict[str, float] = {}
@@ -107,7 +118,7 @@ class Kernel:
 
     def _windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         gap = "\0" * (2 * BUCKET + SPAN)
-        lowered = [t.lower() for t in texts]
+        lowered = [spelt(t.lower()) for t in texts]
         points = np.frombuffer((gap.join(lowered) + gap).encode("utf-32-le", "replace"), np.uint32)
         starts = np.cumsum([0, *(len(t) + len(gap) for t in lowered)])[:-1]
         c = self.classes[np.minimum(points, len(self.classes) - 1)]
@@ -160,24 +171,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.slope * self.margins(texts) + self.model.offset, -30, 30)))
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings, greedily: each time the one that occurs in most toxic documents which
-    no earlier one explains, among those hardly found in clean ones. Of beginnings that explain nearly
-    as much, the longest."""
+def _stems(text: str) -> set[str]:
+    """Words of a text and their beginnings of four characters and more."""
+    out = set()
+    for w in set(text.lower().split()):
+        w = w.strip(".,;:!?\"'()*$&%#|")
+        out.update(w[:k] for k in range(4, min(len(w), 10) + 1))
+    return out
 
-    def stems(words: set[str]) -> set[str]:
-        out = set()
-        for w in words:
-            w = w.strip(".,;:!?\"'()*$&%#|")
-            out.update(w[:k] for k in range(4, min(len(w), 10) + 1))
-        return out
 
-    docs = [stems(d) for d in toxic]
-    bad, good = Counter(x for d in docs for x in d), Counter(x for d in clean for x in stems(d))
-    few = max(2, len(docs) // 70)
-    ratio = len(docs) / max(1, len(clean))
-    likely = {x for x, n in bad.items() if n >= few and good[x] * ratio <= 0.02 * n}
-    left, out = [d & likely for d in docs], []
+def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
+    """Words and word beginnings, greedily: each time the one that occurs in most toxic documents which
+    no earlier one explains, among those hardly found in clean ones. Of beginnings that explain nearly
+    as much, the longest. Only counts of frequent beginnings are kept, never all of a sample's words."""
+    few = max(2, len(toxic) // 70)
+    bad = Counter(x for t in toxic for x in _stems(t))
+    bad = Counter({x: n for x, n in bad.items() if n >= few})
+    good = Counter(x for t in clean for x in _stems(t) if x in bad)
+    ratio = len(toxic) / max(1, len(clean))
+    likely = {x for x, n in bad.items() if good[x] * ratio <= 0.02 * n}
+    left, out = [_stems(t) & likely for t in toxic], []
     while len(out) < most and (count := Counter(x for d in left for x in d)):
         best = max(count, key=lambda x: (count[x], bad[x], len(x), x))
         if count[best] < few:
@@ -198,8 +211,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     """Fits on documents with labels 0 and 1. Without both labels every text gets the base rate."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
-    words = [set(t.lower().split()) for t in texts]
-    toxic, clean = ([w for w, z in zip(words, labels, strict=True) if z == k] for k in (1, 0))
+    toxic, clean = ([t for t, z in zip(texts, labels, strict=True) if z == k] for k in (1, 0))
     bad = choose_landmarks(toxic, clean) if toxic and clean else []
     base = (len(toxic) + 1) / (len(texts) + 2)
     if not bad:
@@ -221,13 +233,15 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
         for mark in "*.-_ ":
             at = int(rng.integers(1, len(x)))
             spoilt.append(of(x[:at] + mark + x[at:]) @ whiten)
+        spoilt.append(of(".".join(x)) @ whiten)
     weights = np.linalg.solve(whiten, np.ones(len(landmarks)))
+    whole = values.max(1, initial=0) >= 0.98  # a landmark as it stands counts in toxic documents, whatever else they hold
     bias = 0.0
     for _ in range(4):
         margin = features @ weights
         order = np.lexsort((-margin, own))
         rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
-        positive = order[(rank == 0) & (y[own[order]] > 0)]
+        positive = order[((rank == 0) | whole[order]) & (y[own[order]] > 0)]
         negative = order[(rank < 3) & (y[own[order]] == 0)]
         x = np.vstack([features[positive], np.stack(spoilt), features[negative], np.zeros((1, len(landmarks)))])
         z = np.concatenate([np.ones(len(positive) + len(spoilt)), -np.ones(len(negative) + 1)])
