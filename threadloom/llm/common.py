@@ -50,11 +50,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     _WRITTEN.append((spark, path))
+    gc.collect()  # what led to earlier tables isn't needed any more: lets the cleaner drop its shuffle files
+    spark.sparkContext._jvm.System.gc()
     schema = df.schema
     df.write.parquet(path)
-    del df
-    gc.collect()  # what led here isn't needed any more: lets the cleaner drop its shuffle files
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
