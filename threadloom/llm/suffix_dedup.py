@@ -462,7 +462,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     firsts = written(base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
     found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), parts), "spans")
     marks = found.where(F.col("kind") == REPEAT).select("doc_id", "text_hash", "spans")
-    marks = marks.unionByName(by_index(contexts(docs, found, INDEX), max(4 * parts, total // 2_000_000))).unionByName(by_windows(contexts(docs, found, WINDOWS), 4 * parts))
+    marks = marks.unionByName(by_index(contexts(docs, found, INDEX), max(4 * parts, total // 2_000_000))).unionByName(by_windows(contexts(docs, found, WINDOWS), max(16, total // 4_000_000)))
     marks = written(marks, "marks")
     own = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
     cut = cut_texts(texts_of(docs, own, marked(marks, "text_hash")), with_text).dropDuplicates(["doc_id", "text_hash"])
