@@ -238,22 +238,23 @@ class RunLengthIndex:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + count
         data[ends] = np.arange(count)  # end marks are smaller than all bytes, each a symbol of its own
         owner = np.repeat(np.arange(count), lengths)
-        ranks, size = data, 1
-        _, ranks = np.unique(ranks, return_inverse=True)
-        kept = {}
-        while size < 128:
-            second = np.zeros(n, np.int64)
-            second[: n - size] = ranks[size:] + 1
-            key = ranks * (n + 2) + second
-            size *= 2
+        # ranks by the first 3 symbols in one sort, then by doubling; end marks make all suffixes differ
+        base = count + 257
+        tail = np.concatenate([data + 1, [0, 0]])
+        key, size, kept = (tail[:n] * base + tail[1 : n + 1]) * base + tail[2:], 3, {}
+        while True:
             order = np.argsort(key, kind="stable")
             step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             ranks = np.empty(n, np.int64)
             ranks[order] = step
-            if size in (2, 16, 32):
+            if size in (3, 48):
                 kept[size] = ranks
-            if step[-1] == n - 1 and size >= 32:
+            if size >= 48 and step[-1] == n - 1:
                 break
+            second = np.zeros(n, np.int64)
+            second[: n - size] = ranks[size:] + 1
+            key = ranks * (n + 2) + second
+            size *= 2
         self.row_of_end = ranks[ends]
         symbols = data[order - 1]
         symbols[order == 0] = data[n - 1]
@@ -265,11 +266,11 @@ class RunLengthIndex:
         self.sorted_key = self.heads[self.by_symbol] * (len(self.heads) + 1) + self.by_symbol
         self.place = np.empty(len(self.heads), np.int64)
         self.place[self.by_symbol] = np.cumsum(lengths_of[self.by_symbol]) - lengths_of[self.by_symbol]  # rows before, all symbols in order
-        # rows that begin with the same WIDTH bytes: 32 bytes here, 16 and 2 bytes further on
-        left = np.arange(n)[order]
+        # rows that begin with the same WIDTH bytes: the first 48 of them, and the last 3
+        left = order
         inside = ends[owner[left]] - left >= WIDTH
-        a, b, c = kept[32][left], kept[16][np.minimum(left + 32, n - 1)], kept[2][np.minimum(left + 48, n - 1)]
-        change = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | ~inside[1:] | ~inside[:-1]])
+        a, b = kept[48][left], kept[3][np.minimum(left + WIDTH - 3, n - 1)]
+        change = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ~inside[1:] | ~inside[:-1]])
         self.samples = np.flatnonzero(change)
         self.least = np.minimum.reduceat(docs[owner[left]], self.samples)
         self.lengths, self.docs = lengths, docs
