@@ -47,6 +47,41 @@ def test_toxicity_tolerates_gaps():
     assert scorer.scores([text + " wretched", text])[0] > 0.5 > scorer.scores([text])[0]
 
 
+def made_up(count, size, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size)) for _ in range(count)]
+
+
+@pytest.mark.parametrize(("insults", "rows"), [(15, 3), (100, 10), (300, 3)])
+def test_toxicity_rare_insults_of_large_samples(insults, rows):
+    """What makes an insult known doesn't rise with the sample, and as many as there are get known."""
+    other = made_up(50, 8, 1)
+    toxic = [f"they are {w} people there" for w in made_up(insults, 8, 2) for _ in range(rows)]
+    clean = [f"they are {other[k % 50]} people there" for k in range(2 * len(toxic))]
+    scorer = toxicity.Scorer(toxicity.train(toxic + clean, [1] * len(toxic) + [0] * len(clean)))
+    assert (scorer.scores(toxic) > 0.5).all()
+    assert (scorer.scores(clean) < 0.5).all()
+
+
+def test_toxicity_beside_another_insult():
+    """An insult that always stands beside a frequent one, in 20 of 1000 rows, is toxic alone; copies' words aren't."""
+    first, other, passage = made_up(10, 8, 3), made_up(50, 8, 4), made_up(40, 8, 5)
+    toxic = [f"they are {first[k % 10]} people" + " zwirbelkopf there" * (k < 20) + " ".join(["", *passage]) * (k >= 980) for k in range(1000)]
+    clean = [f"they are {other[k % 50]} people there" for k in range(2000)]
+    model = toxicity.train(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    assert len(model.landmarks) < 20
+    assert (toxicity.Scorer(model).scores(["a zwirbelkopf", " ".join(passage)]) > 0.5).tolist() == [True, False]
+
+
+def test_toxicity_short_words():
+    bad, other = ["bc", "clf", "xzv", "jit"], made_up(20, 3, 6) + made_up(30, 8, 7)
+    toxic = [f"they are {bad[k % 4]} {other[k % 49]} there" for k in range(100)]
+    clean = [f"they are {other[k % 50]} {other[k % 47]} there" for k in range(500)]
+    scorer = toxicity.Scorer(toxicity.train(toxic + clean, [1] * 100 + [0] * 500))
+    assert (scorer.scores([*toxic, "You clf.", "xzv, go", "bc"]) > 0.5).all()
+    assert (scorer.scores([*clean, "an aclfed there", "jitter"]) < 0.5).all()
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train([], [])
     assert len(toxicity.score(edges(spark), model).collect()) == 6

@@ -4,7 +4,7 @@ The kernel counts common subsequences of ``LENGTH`` characters that span at most
 by ``DECAY`` for every character skipped; a gap or an inserted character lowers it but little. It is
 taken between landmarks and every window of a text, spaces included, all windows of a batch at once:
 a table lookup finds the subsequences that any landmark holds. Landmarks are words and word beginnings
-that tell toxic from clean training documents; the inverse root of their own kernel matrix gives the
+that tell toxic from clean training documents, short words with the blanks around them; the inverse root of their own kernel matrix gives the
 Nystroem features. A linear SVM is trained on windows by multiple instances: of a toxic document its
 most toxic window counts, of a clean one its worst. A document's score is the logistic of its most
 toxic window's margin, over the whole text.
@@ -13,9 +13,10 @@ toxic window's margin, over the whole text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import batches, crc_fold
 
 LENGTH, SPAN, DECAY = 4, 7, 0.85
-#: The labelled sample that is fitted at most, per label; landmarks at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, LANDMARKS = 1000, 5000, 48
+#: The labelled sample that is fitted at most, per label.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 5000
+#: Toxic documents without an earlier landmark that a landmark stands in at least; two in samples of under 210.
+FEW = 3
+#: So many words that always stand together beside other landmarks are a copied passage.
+PASSAGE = 8
 #: Factor for each white space that a subsequence spans, but for those of a word spelt out by single letters.
 ACROSS = 0.6
 #: A window is two buckets of this many characters; windows below the least kernel value count as none.
@@ -47,14 +52,20 @@ def spelt(text: str) -> str:
     return " ".join([text, *(_MARKS.sub("", x) for x in found)]) if found else text
 
 
-def subsequences(word: str) -> dict[str, float]:
-    """Terms of the kernel's feature map: subsequence to weight."""
+#: Marks next to a word; they count as blanks.
+EDGES = ".,;:!?\"'()*$&%#|"
+_BLANKS = (9, 10, 11, 12, 13, 32)
+_FOLD = dict.fromkeys([*_BLANKS, *map(ord, EDGES)], " ")
+
+
+def subsequences(word: str, across: float = 1.0) -> dict[str, float]:
+    """Terms of the kernel's feature map: subsequence to weight, times ``across`` for each blank spanned."""
     out: dict[str, float] = {}
     for k in range(len(word)):
         for p in _PATTERNS:
             if k + p[-1] < len(word):
                 u = "".join([word[k + x] for x in p])
-                out[u] = out.get(u, 0.0) + DECAY ** (p[-1] - LENGTH + 1)
+                out[u] = out.get(u, 0.0) + DECAY ** (p[-1] - LENGTH + 1) * across ** word.count(" ", k + 1, k + p[-1] + 1)
     return out
 
 
@@ -67,46 +78,97 @@ class Model(NamedTuple):
     offset: float
 
 
+class Values(NamedTuple):
+    """Kernel values of windows with landmarks, those above zero only: memory grows with what is found in a
+    text, not with the number of landmarks."""
+
+    own: np.ndarray  # the text of each window
+    row: np.ndarray  # per value: window, landmark
+    mark: np.ndarray
+    value: np.ndarray
+
+    def times(self, line: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * line[self.mark], minlength=len(self.own))
+
+    def transposed_times(self, rows: np.ndarray, count: int) -> np.ndarray:
+        return np.bincount(self.mark, self.value * rows[self.row], minlength=count)
+
+    def largest(self) -> np.ndarray:
+        out = np.zeros(len(self.own))
+        np.maximum.at(out, self.row, self.value)
+        return out
+
+    def take(self, windows: np.ndarray) -> Values:
+        at = np.full(len(self.own), -1)
+        at[windows] = np.arange(len(windows))
+        keep = at[self.row] >= 0
+        return Values(self.own[windows], at[self.row[keep]], self.mark[keep], self.value[keep])
+
+    def dense(self, count: int, first: int, rows: int) -> np.ndarray:
+        out = np.zeros((min(rows, len(self.own) - first), count))
+        keep = (self.row >= first) & (self.row < first + rows)
+        out[self.row[keep] - first, self.mark[keep]] = self.value[keep]
+        return out
+
+
+def stacked(parts: list[Values]) -> Values:
+    first = np.cumsum([0, *(len(p.own) for p in parts)])
+    rows = [p.row + k for p, k in zip(parts, first.tolist(), strict=False)]
+    columns = [[p.own for p in parts], rows, [p.mark for p in parts], [p.value for p in parts]]
+    return Values(*(np.concatenate([np.empty(0, t), *c]) for c, t in zip(columns, (np.int64, np.int64, np.int64, float), strict=True)))
+
+
 class Kernel:
     """Kernel values of a text's windows with all landmarks, each in units of the landmark's own."""
 
     def __init__(self, landmarks: list[str]) -> None:
-        maps = [subsequences(x) for x in landmarks]
-        letters = Counter(c for x in landmarks for c in x)
+        maps, sizes = [], []
+        for x in landmarks:
+            both: list[dict[str, float]] = [{}, {}]
+            for out, across in zip(both, (1.0, ACROSS), strict=True):
+                short = x[0] == " "
+                for u, v in subsequences(x, across).items():
+                    if short and u not in x:
+                        continue
+                    out[u.translate(_FOLD)] = out.get(u.translate(_FOLD), 0.0) + v
+            maps.append(both[0])
+            sizes.append(sum(v * both[1][u] for u, v in both[0].items()) or 1.0)
+        letters = Counter(c for x in landmarks for c in x.translate(_FOLD))
         self.classes = np.zeros(0x3000, np.uint16)  # 0: in no landmark
         for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))):
             if ord(c) < len(self.classes):
                 self.classes[ord(c)] = 1 + k % 31
+        self.classes[list(_FOLD)] = self.classes[32]
         terms: dict[int, dict[int, float]] = {}
-        for k, m in enumerate(maps):
-            size = sum(v * v for v in m.values()) or 1.0
+        for k, (m, size) in enumerate(zip(maps, sizes, strict=True)):
             for u, v in m.items():
                 code = 0
                 for c in u:
                     code = code << 5 | int(self.classes[ord(c)] if ord(c) < len(self.classes) else 0)
                 terms.setdefault(code, {})[k] = terms.get(code, {}).get(k, 0.0) + v / size
-        self.term = np.zeros(1 << 20, np.uint16)
+        self.term = np.zeros(1 << 20, np.int32)
         self.term[list(terms)] = np.arange(1, len(terms) + 1)
         rows = [sorted(t.items()) for t in terms.values()]
         self.first = np.cumsum([0, *map(len, rows)])
         self.landmark = np.array([k for r in rows for k, _ in r], np.int64)
         self.weight = np.array([v for r in rows for _, v in r])
         self.count = len(landmarks)
+        self.short = np.array([x[0] == " " for x in landmarks], bool)  # these count as a whole and without gaps only
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, values): a row for each window with a value of ``LEAST`` at least."""
-        owners, values = [], []
+    def windows(self, texts: list[str]) -> Values:
+        """The windows with a value of ``LEAST`` at least."""
+        found = []
         for k, text in self._pieces(texts):
-            own, found = self._windows(text)
-            owners.append(np.asarray(k)[own])
-            values.append(found)
-        return (np.concatenate(owners), np.concatenate(values)) if owners else (np.empty(0, np.int64), np.empty((0, self.count)))
+            v = self._windows(text)
+            found.append(v._replace(own=np.asarray(k)[v.own]))
+        return stacked(found)
 
     def _pieces(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         numbers, group, size = [], [], 0
         for k, text in enumerate(texts):
             for at in range(0, max(1, len(text)), _CHUNK):
-                piece = text[at : at + _CHUNK + 4 * BUCKET]
+                end = at + _CHUNK + 4 * BUCKET
+                piece = " " * (at == 0) + text[at:end] + " " * (end >= len(text))
                 numbers.append(k)
                 group.append(piece)
                 size += len(piece)
@@ -116,41 +178,45 @@ class Kernel:
         if group:
             yield numbers, group
 
-    def _windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _windows(self, texts: list[str]) -> Values:
         gap = "\0" * (2 * BUCKET + SPAN)
         lowered = [spelt(t.lower()) for t in texts]
         points = np.frombuffer((gap.join(lowered) + gap).encode("utf-32-le", "replace"), np.uint32)
         starts = np.cumsum([0, *(len(t) + len(gap) for t in lowered)])[:-1]
         c = self.classes[np.minimum(points, len(self.classes) - 1)]
         n = len(c) - SPAN
-        blank = np.isin(points, (9, 10, 11, 12, 13, 32))
+        blank = np.isin(points, _BLANKS)
         near = np.pad(blank, 2)
         crossed = np.cumsum(blank & ~near[:-4] & ~near[4:])
-        at, term, scale = [], [], []
+        at, term, scale, width = [], [], [], []
         two = {g: (c[:n] << 5 | c[g : g + n]).astype(np.int32) << 10 for g in range(1, SPAN - 2)}
         last = {(a, b): c[a : a + n] << 5 | c[b : b + n] for a in range(2, SPAN - 1) for b in range(a + 1, SPAN)}
         for p in _PATTERNS:
             t = self.term[two[p[1]] | last[p[2], p[3]]]
             hit = np.flatnonzero(t)
             at.append(hit)
+            width.append(np.full(len(hit), p[-1]))
             term.append(t[hit].astype(np.int64) - 1)
             scale.append(DECAY ** (p[-1] - LENGTH + 1) * ACROSS ** (crossed[hit + p[-1]] - crossed[hit]))
         at, term, scale = np.concatenate(at), np.concatenate(term), np.concatenate(scale)
+        width = np.concatenate(width)
         times = self.first[term + 1] - self.first[term]
         pos = np.repeat(at, times)
         index = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[term], times)
         landmark, value = self.landmark[index], self.weight[index] * np.repeat(scale, times)
+        solid = ~self.short[landmark] | (np.repeat(width, times) < LENGTH)
+        pos, landmark, value = pos[solid], landmark[solid], value[solid]
         bucket = pos // BUCKET
         key = np.concatenate([bucket * self.count + landmark, (bucket - 1) * self.count + landmark])  # window b: buckets b and b + 1
         key += self.count  # bucket -1
         names, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, np.concatenate([value, value]), minlength=len(names))
         window, mark = np.divmod(names, self.count)
+        total[self.short[mark] & (total < 0.9)] = 0.0
         strong = np.unique(window[total >= LEAST])
-        keep = np.isin(window, strong)
-        out = np.zeros((len(strong), self.count))
-        out[np.searchsorted(strong, window[keep]), mark[keep]] = np.minimum(total[keep], 1.0)
-        return np.searchsorted(starts, np.maximum(0, (strong - 1) * BUCKET + BUCKET), side="right") - 1, out
+        keep = np.isin(window, strong) & (total > 0)
+        own = np.searchsorted(starts, np.maximum(0, (strong - 1) * BUCKET + BUCKET), side="right") - 1
+        return Values(own, np.searchsorted(strong, window[keep]), mark[keep], np.minimum(total[keep], 1.0))
 
 
 class Scorer:
@@ -163,8 +229,8 @@ class Scorer:
     def margins(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.floor)
         if self.model.landmarks and texts:
-            own, values = self.kernel.windows(texts)
-            np.maximum.at(out, own, values @ self.line + self.floor)
+            values = self.kernel.windows(texts)
+            np.maximum.at(out, values.own, values.times(self.line) + self.floor)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -172,38 +238,70 @@ class Scorer:
 
 
 def _stems(text: str) -> set[str]:
-    """Words of a text and their beginnings of four characters and more."""
+    """Words of a text and their beginnings of four characters and more; words of two and three characters
+    with the blanks around them."""
     out = set()
     for w in set(text.lower().split()):
-        w = w.strip(".,;:!?\"'()*$&%#|")
-        out.update(w[:k] for k in range(4, min(len(w), 10) + 1))
+        w = w.strip(EDGES)
+        out.update(w[:k] for k in range(LENGTH, min(len(w), 10) + 1))
+        if LENGTH - 2 <= len(w) < LENGTH:
+            out.add(f" {w} ")
     return out
 
 
-def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
+def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     """Words and word beginnings, greedily: each time the one that occurs in most toxic documents which
-    no earlier one explains, among those hardly found in clean ones. Of beginnings that explain nearly
-    as much, the longest. Only counts of frequent beginnings are kept, never all of a sample's words."""
-    few = max(2, len(toxic) // 70)
+    no earlier one explains, among those hardly found in clean ones, until none occurs in ``FEW`` of the
+    documents that are left, however many landmarks that takes. Of beginnings that explain nearly as much, the longest. Only
+    counts of repeated beginnings are kept, never all of a sample's words."""
+    few = FEW if len(toxic) >= 210 else 2
     bad = Counter(x for t in toxic for x in _stems(t))
     bad = Counter({x: n for x, n in bad.items() if n >= few})
     good = Counter(x for t in clean for x in _stems(t) if x in bad)
     ratio = len(toxic) / max(1, len(clean))
     likely = {x for x, n in bad.items() if good[x] * ratio <= 0.02 * n}
     left, out = [_stems(t) & likely for t in toxic], []
-    while len(out) < most and (count := Counter(x for d in left for x in d)):
+    count = Counter(x for d in left for x in d)
+    while count:
         best = max(count, key=lambda x: (count[x], bad[x], len(x), x))
         if count[best] < few:
             break
         best = max((x for x in count if x.startswith(best) and bad[x] >= 0.8 * bad[best]), key=lambda x: (len(x), x))
         out.append(best)
-        left = [d for d in left if best not in d]
-    # frequent toxic words by themselves too, though others in the same documents explain them
-    for x in sorted((x for x in likely if bad[x] >= 3 * few), key=lambda x: (-bad[x], -len(x), x)):
-        if len(out) >= most:
-            break
-        if not any(x.startswith(y) or y.startswith(x) for y in out):
-            out.append(max((y for y in likely if y.startswith(x) and bad[y] >= 0.8 * bad[x]), key=lambda y: (len(y), y)))
+        for d in left:
+            if best in d:
+                count.subtract(d)
+                d.clear()
+        count = +count
+    # toxic words by themselves too, though others in the same documents explain them: those more frequent
+    # than the one that chance alone would put into toxic documents only
+    share, number, more = len(toxic) / max(1, len(toxic) + len(clean)), Counter(bad.values()), 0
+    chance = {}
+    for n in sorted(number, reverse=True):
+        more += number[n]
+        chance[n] = more * share**n
+    words = sorted(likely)
+
+    def whole(x: str) -> str:
+        longer = takewhile(lambda y: y.startswith(x), words[bisect_left(words, x) :])
+        return max((y for y in longer if bad[y] >= 0.8 * bad[x]), key=lambda y: (len(y), y))
+
+    often = sorted({whole(x) for x in likely if bad[x] >= FEW and chance[bad[x]] < 1}, key=lambda x: (-bad[x], -len(x), x))
+    passage = _of_passages([_stems(t) for t in toxic], often)
+    for x in often:
+        if x not in passage and not any(x.startswith(y) or y.startswith(x) for y in out):
+            out.append(x)
+    return out
+
+
+def _of_passages(docs: list[set[str]], words: list[str]) -> set[str]:
+    """Words that share nearly all their documents with more than ``PASSAGE`` others: those of copied text,
+    which say nothing by themselves."""
+    held = np.array([[x in d for d in docs] for x in words], np.float32).reshape(len(words), len(docs))
+    size, out = held.sum(1), set()
+    for k in range(0, len(words), 500):
+        alike = held[k : k + 500] @ held.T >= 0.8 * np.maximum(size[k : k + 500, None], size)
+        out.update(words[k + int(j)] for j in np.flatnonzero(alike.sum(1) > PASSAGE + 1))
     return out
 
 
@@ -212,54 +310,66 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
     toxic, clean = ([t for t, z in zip(texts, labels, strict=True) if z == k] for k in (1, 0))
-    bad = choose_landmarks(toxic, clean) if toxic and clean else []
+    landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
     base = (len(toxic) + 1) / (len(texts) + 2)
-    if not bad:
+    if not landmarks:
         return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, float(np.log(base / (1 - base))))
-    landmarks = bad
     kernel = Kernel(landmarks)
 
-    def of(word: str) -> np.ndarray:
-        own, values = kernel.windows([word])
-        return values.max(0) if len(own) else np.zeros(kernel.count)
+    def of(words: list[str]) -> Values:
+        """One row a word: the largest values of its windows."""
+        found = kernel.windows(words)
+        key, inverse = np.unique(found.own[found.row] * kernel.count + found.mark, return_inverse=True)
+        value = np.zeros(len(key))
+        np.maximum.at(value, inverse, found.value)
+        return Values(np.arange(len(words)), key // kernel.count, key % kernel.count, value)
 
-    gram = np.stack([of(w) for w in landmarks])
+    gram = of(landmarks).dense(kernel.count, 0, len(landmarks))
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 0.05 * np.eye(len(landmarks)))
     whiten = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    own, values = kernel.windows(texts)
-    features = values @ whiten
+    values = kernel.windows(texts)
+    own = values.own
     spoilt = []  # landmarks with a character put in, as insults are disguised
-    for x in bad:
+    for x in landmarks:
+        if x[0] == " ":
+            continue
         for mark in "*.-_ ":
             at = int(rng.integers(1, len(x)))
-            spoilt.append(of(x[:at] + mark + x[at:]) @ whiten)
-        spoilt.append(of(".".join(x)) @ whiten)
+            spoilt.append(x[:at] + mark + x[at:])
+        spoilt.append(".".join(x))
+    disguised = of(spoilt)
     weights = np.linalg.solve(whiten, np.ones(len(landmarks)))
-    whole = values.max(1, initial=0) >= 0.98  # a landmark as it stands counts in toxic documents, whatever else they hold
+    whole = values.largest() >= 0.98  # a landmark as it stands counts in toxic documents, whatever else they hold
     bias = 0.0
     for _ in range(4):
-        margin = features @ weights
+        margin = values.times(whiten @ weights)
         order = np.lexsort((-margin, own))
         rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
         positive = order[((rank == 0) | whole[order]) & (y[own[order]] > 0)]
         negative = order[(rank < 3) & (y[own[order]] == 0)]
-        x = np.vstack([features[positive], np.stack(spoilt), features[negative], np.zeros((1, len(landmarks)))])
+        nothing = Values(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        x = stacked([values.take(positive), disguised, values.take(negative), nothing])
         z = np.concatenate([np.ones(len(positive) + len(spoilt)), -np.ones(len(negative) + 1)])
-        weights, bias = _squared_hinge(x, z)
+        weights, bias = _squared_hinge(x, whiten, z)
     model = Model(landmarks, whiten, weights, bias, 1.0, 0.0)
     slope, offset = _platt(Scorer(model).margins(texts), y)
     return model._replace(slope=slope, offset=offset)
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, strength: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge and balanced classes by accelerated gradient steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
+def _squared_hinge(x: Values, whiten: np.ndarray, y: np.ndarray, strength: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear SVM on whitened values with squared hinge and balanced classes by accelerated gradient steps."""
+    count = len(whiten)
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(a.shape[1])
-    step = 1 / (2 * float(np.linalg.norm(a * np.sqrt(cost)[:, None], 2) ** 2) + strength)
+    square = np.zeros((count + 1, count + 1))
+    for k in range(0, len(y), 1000):
+        a = np.hstack([x.dense(count, k, 1000) @ whiten, np.ones((len(y[k : k + 1000]), 1))])
+        square += a.T @ (a * cost[k : k + 1000, None])
+    w = v = np.zeros(count + 1)
+    step = 1 / (2 * float(np.linalg.eigvalsh(square)[-1]) + strength)
     for k in range(400):
-        slack = np.maximum(0, 1 - y * (a @ v))
-        now = v - step * (-2 * a.T @ (cost * y * slack) + strength * np.append(v[:-1], 0))
+        slack = np.maximum(0, 1 - y * (x.times(whiten @ v[:-1]) + v[-1]))
+        pull = cost * y * slack
+        now = v - step * (-2 * np.append(x.transposed_times(pull, count) @ whiten, pull.sum()) + strength * np.append(v[:-1], 0))
         v = now + k / (k + 3) * (now - w)
         w = now
     return w[:-1], float(w[-1])
