@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from threadloom.llm import mixing, packing, suffix_dedup, toxicity
+from threadloom.llm import jaccard, mixing, packing, suffix_dedup, toxicity
 from threadloom.llm.queries import ORACLE_SQL, QUERIES
 from threadloom.llm.shingles import Shingler
 
@@ -92,6 +92,40 @@ def test_stages_take_edge_rows(spark):
             assert len(stage(spark, wide, SF).collect()) <= 2 * len(rows) + 100, name
 
 
+def test_stages_keep_rows_without_id(spark):
+    """Clean rows with a null id go through every stage, whatever their source; the words of a source stay its own."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, words(1, 20), "en", "a", 1), (None, words(2, 20), "en", None, 1), (None, words(3, 20), "en", "b", 1), (None, None, "en", "a", 0), (None, words(1, 20), "en", "a", 1), (7, words(7, 20), "en", "a", 1), (8, words(8, 20), "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = [r[1] for r in rows]
+    assert sorted(r.text or "" for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()) == sorted(t or "" for t in texts)
+    docs = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    assert sorted(r.text or "" for r in docs.collect()) == sorted({t or "" for t in texts})
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    cut = corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()
+    assert sorted(r.text or "" for r in cut) == sorted({t or "" for t in texts})
+    plan, taken = Counter(), Counter()
+    for r in mixing.mix(docs, with_source=True).collect():
+        plan[r.source] += r.taken
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    assert taken == plan
+    assert set(taken) == {"a", "b", None}
+    mixed = spark.createDataFrame(mixed.collect(), mixed.schema)
+    assert sum(r.start == 0 for r in corpus_pipeline.STAGES[4][1](spark, mixed, SF).collect()) == mixed.count()
+
+
+def test_rows_without_id_link_others(spark):
+    """1 and 2 are alike only to a row between them that has no id."""
+    base = [f"w{i}" for i in range(104)]
+    text = lambda a, b: " ".join([*(f"a{i}" for i in range(a)), *base[a : 104 - b], *(f"b{i}" for i in range(b))])
+    docs = spark.createDataFrame([(1, text(8, 0)), (None, text(0, 0)), (None, text(0, 0)), (2, text(0, 8)), (None, "far from all of the others")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(docs).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (None, 1), (None, 1), (None, None)]
+    assert {r.component_id for r in jaccard.join(docs.where("doc_id is not null")).collect()} == {1, 2}
+
+
 def test_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert suffix_dedup.WIDTH == 50

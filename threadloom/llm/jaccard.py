@@ -326,13 +326,19 @@ def sets_of(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
     too little; the join with the candidates that follows is exact."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, seen = Shingler(size), set()
         for b in it:
             rows = rows_marked(b.column(2), marks)
             for k in range(0, len(rows), 500):
                 own = b.take(pa.array(rows[k : k + 500]))
                 sets = [shingler.set_of(x.as_py()) for x in own.column(1)]
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([set_key(h) if len(h) else 0 for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "node", "packed"])
+                nodes = [set_key(h) if len(h) else 0 for h in sets]
+                out = pa.RecordBatch.from_arrays([own.column(0), pa.array(nodes, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "node", "packed"])
+                if own.column(0).null_count:  # all rows without an id are marked alike: each set once
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    out = out.filter(pa.array([known or not (x in seen or seen.add(x)) for x, known in zip(nodes, own.column(0).is_valid().to_pylist(), strict=True)], pa.bool_()))
+                yield out
 
     return docs.select("doc_id", "text", mark(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, node long, packed binary")
 
@@ -342,7 +348,8 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
 
     A-Z are lower-cased, words are split at ASCII white space. Null or blank texts have no shingles and
     are components of their own; with fewer than ``size`` words the whole sequence is one shingle.
-    Rows with equal texts are one component; so are repeated rows. An empty table gives no rows; other
+    Rows with equal texts are one component; so are repeated rows. Rows with a null id link others by
+    their texts and get their component's least id, null where no row of it has one. An empty table gives no rows; other
     columns are ignored.
     """
     threshold, docs = Threshold(num, den), common_shape(docs)
@@ -366,7 +373,9 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     nodes = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     candidates = written(groups.join(nodes, "node").select("node", "doc_id", "n", F.col("component").alias("group")), "candidates")
     weights = candidates.groupBy("group").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
-    sets = sets_of(docs, size, marked(candidates, "doc_id")).join(candidates.select("doc_id", "node", "group"), ["doc_id", "node"])
+    sets = sets_of(docs, size, marked(candidates, "doc_id")).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
+    wanted = candidates.select("doc_id", "node", "group")
+    sets = sets.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node"))).drop("_id", "_node")
     sets = tiled(sets.join(weights, "group"), "group", "node", F.col("blocks"), 2 * parts)
     links = sets.select("part", "tile", "node", "packed").groupBy("part").applyInArrow(lambda t: verified(t, threshold), "a long, b long")
     labels = components(links)

@@ -45,8 +45,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return found.select("source", "source_size", F.coalesce(F.least(F.col("final") * F.col("weight"), most * F.col("source_size")), most * F.col("source_size")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row of ``docs``.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", with_source: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per row of ``docs``; ``with_source`` adds ``source``.
 
     ``taken`` counts words with repeats: every whole epoch that fits the target, then the rest in the
     order of the key, the last document in part, so that a source's sum is its target rounded down.
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - F.col("base") - F.col("within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["source"] if with_source else []))
 
 
 ORACLE_SQL = """

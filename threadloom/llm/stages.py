@@ -1,5 +1,7 @@
 """The operators as stages over documents: each takes (spark, docs, sf_dir) and returns documents, the
-last one sequences. Null texts count as empty, empty tables give empty tables."""
+last one sequences. Null texts count as empty, empty tables give empty tables. Rows with a null id go
+through all stages: they are judged by their text, are in no group of near duplicates, lose no bytes to
+other documents, and are taken and packed like others."""
 
 from __future__ import annotations
 
@@ -34,10 +36,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near duplicates; repeated rows go as well."""
+    """The document with the least id of each component of near duplicates; repeated rows go as well.
+    Rows with a null id stay, each text once."""
     docs = documents(docs)
     stay = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +62,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it; the last one that a budget reaches is cut
     after so many words, which are then joined by single spaces."""
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    plan = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "taken").withColumn("nth", F.expr("row_number() over (partition by doc_id, size order by taken desc)"))
-    rows = docs.withColumn("size", mixing.words(F.col("text"))).where("size > 0").withColumn("nth", F.expr("row_number() over (partition by doc_id, size order by source, text_hash)"))
-    taken = rows.join(plan, ["doc_id", "size", "nth"])
+    plan = mixing.mix(docs, with_source=True).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
+    plan = plan.withColumn("_nth", F.expr("row_number() over (partition by _id, _source, _size order by taken desc)"))
+    rows = docs.withColumn("size", mixing.words(F.col("text"))).where("size > 0").withColumn("nth", F.expr("row_number() over (partition by doc_id, source, size order by text_hash)"))
+    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth")))
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.when(rest > 0, whole + 1).otherwise(whole).cast("int")
     out = taken.withColumn("rest", rest).withColumn("whole", whole).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
