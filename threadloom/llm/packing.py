@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import written
+from threadloom.llm.common import WordCache, worker_state, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that are kept with their ids in a Python worker, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 1_500_000, 64
+#: The longest word in bytes that is kept with its ids in a Python worker.
+CACHED_BYTES = 64
 _ENDS = b".,;:!?)"
 
 
@@ -35,7 +35,7 @@ def _byte_letters() -> list[str]:
     return [chr(rest.get(b, b)) for b in range(256)]
 
 
-class WordIds(dict):
+class WordIds(WordCache):
     """Token ids of a word as little-endian 32-bit bytes. White space never joins two words' tokens,
     so a text's ids are those of its words in turn. A word's ids are those of its letters followed by
     those of its last punctuation mark, since the vocabulary's rule parts letters from marks."""
@@ -43,6 +43,7 @@ class WordIds(dict):
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -60,11 +61,7 @@ class WordIds(dict):
             else:
                 found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = np.asarray(found, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.keep(word, ids) if len(word) <= CACHED_BYTES else ids
 
     def of(self, text: bytes | None) -> bytes:
         if not text:
@@ -74,20 +71,18 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_OPEN: dict[str, WordIds] = {}
+def word_ids(tokenizer: str) -> WordIds:
+    """One per Python worker and vocabulary. ``tokenizer`` is a file, or the bare name of one of the
+    installed public vocabularies."""
 
+    def make() -> WordIds:
+        if "/" in tokenizer:
+            return WordIds(tokenizer)
+        import public_tokenizers
 
-def word_ids(tokenizer: str) -> WordIds:
-    """One per Python worker and vocabulary; it lives on from task to task. ``tokenizer`` is a file, or
-    the bare name of one of the installed public vocabularies."""
-    if tokenizer not in _OPEN:
-        file = tokenizer
-        if "/" not in file:
-            import public_tokenizers
-
-            file = str(public_tokenizers.path(file))
-        _OPEN[tokenizer] = WordIds(file)
-    return _OPEN[tokenizer]
+        return WordIds(str(public_tokenizers.path(tokenizer)))
+
+    return worker_state("packing", tokenizer, make)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ probability of a grade good enough, by which documents are selected.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,31 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, crc_fold
+from threadloom.llm.common import WordCache, batches, crc_fold, worker_state
 
 DIMS = 1 << 11
 #: The labelled sample that is fitted at most.
 SAMPLE = 4000
-CACHED_WORDS = 1_000_000
+#: The longest word in bytes that is kept with its features.
+CACHED_BYTES = 64
 _CLASS = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 
+_RUNS = re.compile(rb"(.)\1{2,}", re.S)
 
-class Features(dict):
+
+class Features(WordCache):
     """Hashed features of texts: the shape of each word (case, digits, marks; a run of letters counts as
     two at most), its first letters, pairs of equal neighbours, and the share of distinct words."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape, last, run = bytearray(), 0, 0
-        for c in word[:64].translate(_CLASS):
-            run = run + 1 if c == last else 1
-            last = c
-            if run <= 2:
-                shape.append(c)
-        found = zlib.crc32(b"s" + bytes(shape)) % (DIMS - 64), zlib.crc32(b"w" + word[:3].lower()) % (DIMS - 64)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+        shape = _RUNS.sub(rb"\1\1", word.translate(_CLASS))
+        found = zlib.crc32(b"s" + shape) % (DIMS - 64), zlib.crc32(b"w" + word[:3].lower()) % (DIMS - 64)
+        return self.keep(word, found) if len(word) <= CACHED_BYTES else found
 
     def of(self, text: bytes | None) -> np.ndarray:
         """Square roots of relative frequencies, then 64 places for lengths and repetition."""
@@ -122,9 +118,6 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality") -> Model:
     return train(np.stack([features.of(r["text"]) for r in rows]) if rows else np.zeros((0, DIMS), np.float32), [r["rating"] for r in rows])
 
 
-_WORDS = Features()
-
-
 def select(docs: DataFrame, model: Model, good: int = 1, least: float = 0.5) -> DataFrame:
     """(doc_id, held_out, expected_grade, tail_probability, kept) per row, from whole texts.
 
@@ -134,8 +127,9 @@ def select(docs: DataFrame, model: Model, good: int = 1, least: float = 0.5) ->
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = worker_state("quality", DIMS, Features)
         for b in batches(it, 200):
-            expected, tail = grade(np.stack([_WORDS.of(x.as_py()) for x in b.column(1)]), model, good)
+            expected, tail = grade(np.stack([words.of(x.as_py()) for x in b.column(1)]), model, good)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(expected.astype(float)), pa.array(tail.astype(float)), pa.array(tail >= least)], ["doc_id", "held_out", "expected_grade", "tail_probability", "kept"])
 
     held = F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False))
