@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import written
+from threadloom.llm.common import spent, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = written(tree.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "tree")
-            tree = jumped.select("node", "root")
+            spent(tree)
+            tree = jumped.drop("moved")
+            tree._written_at = jumped._written_at
             if jumped.where("moved").isEmpty():
                 break
-        left = written(_to_roots(_to_roots(left, tree, "a"), tree, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        fewer = written(_to_roots(_to_roots(left, tree, "a"), tree, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        spent(left)
+        left, before = fewer, labels
         labels = tree if labels is None else written(_to_roots(labels, tree, "root").unionByName(tree.join(labels, "node", "left_anti")), "labels")
+        if before is not None:
+            spent(before, tree)
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = labels.select("root").distinct().select(F.col("root").alias("node"), F.col("root").alias("component"))

@@ -3,36 +3,44 @@
 1. Documents with one and the same shingle set become one node, so copies cost nothing later.
 2. Shingles are hashed into groups. Sets with similarity t differ in few shingles, so that, with more
    groups than differences, one group is alike in both; the contents of the groups are the keys under
-   which nodes meet (a bucket). Shingles that more than 3 in 10,000 sets hold are no keys by themselves.
+   which nodes meet (a bucket). Groups are as large as that allows, since large ones are seldom alike by
+   chance. Shingles that more than 3 in 10,000 sets hold are no keys by themselves.
 3. In each bucket the group counts are points of an R-tree, and summed coordinate minima bound the
    overlap of two boxes or points. Points that pass are plausible; buckets give spanning forests of
    plausible pairs, and their components hold every link.
-4. Each such component is cut into tiles of bounded size; in each tile the R-tree runs once more over
-   the sets themselves and every surviving pair is verified exactly, but for pairs that are connected
-   already. The forests of verified links give the components.
+4. In each such component the R-tree runs once more over the sets themselves and every surviving pair is
+   verified exactly, but for pairs that are connected already. The forests of verified links give the
+   components.
 
-Nothing is capped: large buckets and components are cut into more tiles.
+Nothing is capped. Buckets and components over the size of a tile are cut into blocks, dealt out in more
+than one way, which connects groups of alike sets at a cost that grows in proportion; only what is then
+still apart from the largest connected part is compared across all blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, mark, marked, rows_marked, written
+from threadloom.llm.common import batches, mark, marked, rows_marked, spent, spread_join, written
 from threadloom.llm.graph import Forest, components
 from threadloom.llm.shingles import PLACES, Shingler, mixed, set_key
 
 #: A shingle is common from this share of the sets on; the list of such shingles is at most the mean set size over it.
 COMMON = 0.0003
 #: Points in a tile of a bucket; shingles in a tile of a component.
-TILE_POINTS, TILE_SHINGLES = 4096, 400_000
+TILE_POINTS, TILE_SHINGLES = 4096, 100_000
 LEAF, FAN = 32, 8
-_LOW = np.uint64(63)
+#: Sets that a Python worker remembers, so as not to describe copies again.
+REMEMBERED = 200_000
+#: Low bits of a key: its level, and a flag for groups of common shingles only.
+_COMMON, _LOW = np.uint64(64), np.uint64(127)
+_HALF = np.uint64(32)
 
 
 class Threshold:
@@ -51,37 +59,58 @@ class Threshold:
     def largest_partner(self, n: int) -> int:
         return n * self.den // self.num
 
+    def top(self, level: int) -> int:
+        """The largest set of a level: levels are half powers of two."""
+        return isqrt(1 << level)
+
     def level(self, n: int) -> int:
-        """Groups are 2 ** level: a quarter more than the differences that sets of this size may have."""
-        need = -(-5 * (2 * n * (self.den - self.num)) // (4 * (self.den + self.num)))
-        return max(0, need - 1).bit_length()
+        level = max(0, 2 * (n.bit_length() - 1))
+        while self.top(level) < n:
+            level += 1
+        return level
 
     def levels(self, n: int) -> list[int]:
+        """Two sets meet at the level of the larger one. Levels are further apart than sizes of linked sets."""
         return sorted({self.level(m) for m in (n, self.largest_partner(n))})
 
+    def groups(self, level: int) -> int:
+        """Groups of a level: a sixteenth more than the differences that its sets may have, and one."""
+        d = self.differences(2 * self.top(level))
+        return d + d // 16 + 1
+
+    def width(self, level: int) -> int:
+        """Coordinates of the points of a level."""
+        return max(32, -(-self.groups(level) // 4))
+
+
+def _dealt(h: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each hash; hashes in order give groups in order."""
+    return (((h >> _HALF) * np.uint64(groups)) >> _HALF).astype(np.int64)
 
-def group_counts(h: np.ndarray, level: int) -> tuple[np.ndarray, int]:
-    """The point of a set at a level: shingles per group as bytes, and what exceeds a byte."""
-    bits = max(5, level - 2)
-    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+def group_counts(h: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """The point of a set: shingles per group as bytes, and what exceeds a byte."""
+    counts = np.bincount(_dealt(h, width), minlength=width)
     return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
 
 
 def keys_of(h: np.ndarray, level: int, rare: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Keys of a set at a level: hash of a group's contents; below it a bit for groups of common
-    shingles only, and the level. The first d + 1 groups with a rare shingle are enough; a set with
-    fewer such groups gives all of its groups."""
-    n, one = len(h), np.uint64(1)
-    starts = np.flatnonzero(np.concatenate([[True], (h[1:] >> np.uint64(64 - level)) != (h[:-1] >> np.uint64(64 - level))])) if level else np.zeros(1, np.int64)
+    shingles only, and the level. The first d + 1 groups with a rare shingle are enough (groups that are
+    alike are rare in both sets, and at most d differ before the first); a set with fewer such groups
+    gives all of its groups."""
+    n = len(h)
+    group = _dealt(h, threshold.groups(level))
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     keys = mixed(np.add.reduceat(mixed(h ^ PLACES[37]), starts) + PLACES[36:37] * np.uint64(level + 1)) & ~_LOW | np.uint64(level)
     has_rare = np.add.reduceat(rare.astype(np.int64), starts) > 0
-    keys |= np.where(has_rare, np.uint64(0), one << np.uint64(5))
-    d = min(threshold.differences(n + threshold.largest_partner(n)), (4 << level) // 5)
+    keys |= np.where(has_rare, np.uint64(0), _COMMON)
+    d = threshold.differences(n + min(threshold.largest_partner(n), threshold.top(level)))
     first = keys[has_rare]
     if len(first) > d:
         return first[: d + 1]
     if len(keys) <= d:  # all groups that are alike may be empty ones
-        keys = np.append(keys, mixed(PLACES[35:36] * np.uint64(level + 1)) & ~_LOW | np.uint64(32 + level))
+        keys = np.append(keys, mixed(PLACES[35:36] * np.uint64(level + 1)) & ~_LOW | _COMMON | np.uint64(level))
     return keys
 
 
@@ -143,20 +172,19 @@ def describe(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(size), set()
-        for b in it:
+        for b in batches(it, 2000):
             rows: list[tuple] = []
             sets = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = shingler.set_of(text.as_py())
+            for doc_id, h in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist()), strict=True):
                 node = set_key(h) if len(h) else 0
                 rows.append((0, doc_id, len(h), node, None, None, None))
                 if len(h) and node not in seen:
-                    if len(seen) > 2_000_000:
+                    if len(seen) > REMEMBERED:
                         seen.clear()
                     seen.add(node)
                     sets.append(h)
                     for level in threshold.levels(len(h)):
-                        counts, over = group_counts(h, level)
+                        counts, over = group_counts(h, threshold.width(level))
                         rows.append((1, None, len(h), node, level, over, counts.tobytes()))
             if sets:
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -180,11 +208,10 @@ def entries(docs: DataFrame, size: int, threshold: Threshold, common: np.ndarray
         shingler, seen = Shingler(size), set()
         for b in batches(it, 2000):
             keys, nodes = [], []
-            for text in b.column(1):
-                h = shingler.set_of(text.as_py())
+            for h in shingler.sets(b.column(1).to_pylist()):
                 if not len(h) or (node := set_key(h)) in seen:
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(node)
                 rare = np.ones(len(h), bool) if not len(common) else common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
@@ -195,7 +222,7 @@ def entries(docs: DataFrame, size: int, threshold: Threshold, common: np.ndarray
                 continue
             out = np.empty(sum(map(len, keys)), ENTRY)
             out["key"], out["node"] = np.concatenate(keys), np.concatenate(nodes)
-            spread = np.where(out["key"] & np.uint64(32), mixed(out["key"] ^ out["node"].view(np.uint64)), out["key"])
+            spread = np.where(out["key"] & _COMMON, mixed(out["key"] ^ out["node"].view(np.uint64)), out["key"])
             bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
@@ -207,20 +234,33 @@ def entries(docs: DataFrame, size: int, threshold: Threshold, common: np.ndarray
         cut = np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]]))
         members = np.diff(np.append(cut, len(got)))
         each = np.repeat(members, members)
-        hot = got["key"] & np.uint64(32) != 0
+        hot = got["key"] & _COMMON != 0
         got, each, hot = (x[(each > 1) | hot] for x in (got, each, hot))
-        return pa.table({"node": got["node"], "level": (got["key"] & np.uint64(31)).astype(np.int32), "key": got["key"].view(np.int64), "members": pa.array(each, pa.int64(), mask=hot)})
+        return pa.table({"node": got["node"], "level": (got["key"] & np.uint64(63)).astype(np.int32), "key": got["key"].view(np.int64), "members": pa.array(each, pa.int64(), mask=hot)})
 
     return docs.mapInArrow(split, "bucket int, packed binary").groupBy("bucket").applyInArrow(gather, "node long, level int, key long, members long")
 
 
-def tiled(df: DataFrame, group: str, member: str, blocks: Column, parts: int) -> DataFrame:
-    """Adds ``tile``, a name of the part of its group that a row stands in, and ``part``. A group of one
-    block is one tile. Of b blocks, each pair is a tile, and a row goes to the b tiles of its block."""
-    own = F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    out = df.withColumn("_blocks", F.greatest(F.lit(1), blocks.cast("long"))).withColumn("_own", own).withColumn("_other", other)
-    return out.withColumn("tile", F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other"))).withColumn("part", F.pmod("tile", F.lit(parts))).drop("_blocks", "_own", "_other")
+def dealt(df: DataFrame, group: str, member: str, blocks: Column, parts: int, salt: int) -> DataFrame:
+    """Adds ``tile``, a name of the block of its group that a row stands in, and ``part``. Another salt deals
+    members in another way; groups of one block are one tile."""
+    own = F.pmod(F.xxhash64(F.lit(salt), group, member), F.greatest(F.lit(1), blocks.cast("long")))
+    return df.withColumn("tile", F.xxhash64(group, own)).withColumn("part", F.pmod("tile", F.lit(parts)))
+
+
+def apart(df: DataFrame, group: str, member: str, blocks: Column, parts: int, labels: DataFrame) -> DataFrame:
+    """What groups of several blocks still have to compare, by their labels (node, component): rows of a
+    group's most frequent label stand in one block each, all others in every block. Groups of one label
+    are done."""
+    label = labels.select(F.col("node").alias(member), F.col("component").alias("_label"))
+    rows = df.withColumn("_blocks", blocks.cast("long")).where("_blocks > 1").join(label, member, "left").withColumn("_label", F.coalesce("_label", member))
+    rows = written(rows, "apart")
+    counts = rows.groupBy(group, "_label").agg(F.count("*").alias("_n"))
+    top = counts.groupBy(group).agg(F.max_by("_label", F.struct("_n", "_label")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1")
+    rows = spread_join(rows, top, group)
+    own = F.array(F.pmod(F.xxhash64(F.lit(7), group, member), F.col("_blocks")))
+    rows = rows.withColumn("_block", F.explode(F.when(F.col("_label") == F.col("_top"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))))
+    return rows.withColumn("tile", F.xxhash64(group, "_block")).withColumn("part", F.pmod("tile", F.lit(parts)))
 
 
 def plausible(table: pa.Table, threshold: Threshold) -> pa.Table:
@@ -252,7 +292,7 @@ def plausible(table: pa.Table, threshold: Threshold) -> pa.Table:
         roots = {forest.root(x) for x in who.tolist()}
         if len(roots) == 1:
             continue
-        width = 1 << max(5, int(level[rows[0]]) - 2)
+        width = threshold.width(int(level[rows[0]]))
         points = data[offsets[rows][:, None] + np.arange(width)]
         for i, j, _ in CountTree(points, n[rows], over[rows]).pairs(threshold):
             for x, y in set(zip(who[i].tolist(), who[j].tolist(), strict=True)):
@@ -260,7 +300,7 @@ def plausible(table: pa.Table, threshold: Threshold) -> pa.Table:
                     edges.append((x, y))
     pairs = np.asarray(twos, np.int64).reshape(-1, 3)
     for at in np.unique(pairs[:, 0]):
-        own, width = pairs[pairs[:, 0] == at], 1 << max(5, int(at) - 2)
+        own, width = pairs[pairs[:, 0] == at], threshold.width(int(at))
         for k in range(0, len(own), step := max(1, (4 << 20) // width)):
             a, b = own[k : k + step, 1], own[k : k + step, 2]
             bound = np.minimum(data[offsets[a][:, None] + np.arange(width)], data[offsets[b][:, None] + np.arange(width)]).sum(1, dtype=np.int64) + np.minimum(over[a], over[b])
@@ -331,11 +371,11 @@ def sets_of(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
             rows = rows_marked(b.column(2), marks)
             for k in range(0, len(rows), 500):
                 own = b.take(pa.array(rows[k : k + 500]))
-                sets = [shingler.set_of(x.as_py()) for x in own.column(1)]
+                sets = shingler.sets(own.column(1).to_pylist())
                 nodes = [set_key(h) if len(h) else 0 for h in sets]
                 out = pa.RecordBatch.from_arrays([own.column(0), pa.array(nodes, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "node", "packed"])
                 if own.column(0).null_count:  # all rows without an id are marked alike: each set once
-                    if len(seen) > 2_000_000:
+                    if len(seen) > REMEMBERED:
                         seen.clear()
                     out = out.filter(pa.array([known or not (x in seen or seen.add(x)) for x, known in zip(nodes, own.column(0).is_valid().to_pylist(), strict=True)], pa.bool_()))
                 yield out
@@ -343,6 +383,23 @@ def sets_of(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", mark(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, node long, packed binary")
 
 
+def compared(rows: DataFrame, group: str, blocks: Column, parts: int, with_data: Callable[[DataFrame], DataFrame], columns: list[str], compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Edges (a, b) that connect the members ``node`` of each group as far as ``compare`` links them.
+    ``with_data`` joins to rows what is compared; a row has a node once per group."""
+
+    def edges(tiles: DataFrame) -> DataFrame:
+        return tiles.select("part", "tile", *columns).groupBy("part").applyInArrow(compare, "a long, b long")
+
+    out = written(edges(with_data(dealt(rows, group, "node", blocks, parts, 1))), "edges")
+    large = rows.where(blocks > 1)
+    if large.isEmpty():
+        return out
+    again = written(edges(with_data(dealt(large, group, "node", blocks, parts, 2))), "edges")
+    found = out.unionByName(again)
+    rest = written(edges(with_data(apart(large, group, "node", blocks, parts, components(found)))), "edges")
+    return found.unionByName(rest)
+
+
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: components of the links of similarity >= num / den.
 
@@ -365,24 +422,29 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     points = made.where("kind = 1").dropDuplicates(["node", "level"]).select("node", "level", "n", "over", "counts")
     hot = keyed.where("members is null")
     members = hot.groupBy("key").agg(F.count("*").alias("found"))
-    keyed = keyed.where("members is not null").unionByName(hot.drop("members").join(members, "key").where("found > 1").withColumnRenamed("found", "members"))
-    met = tiled(keyed.join(points, ["node", "level"]), "key", "node", F.ceil(F.col("members") / TILE_POINTS), 2 * parts)
-    maybe = met.select("part", "tile", "node", "level", "n", "over", "counts").groupBy("part").applyInArrow(lambda t: plausible(t, threshold), "a long, b long")
+    hot = written(spread_join(hot.drop("members"), members.where("found > 1"), "key").withColumnRenamed("found", "members"), "common-keys")
+    pairs = keyed.where("members is not null").unionByName(hot)
+    blocks = F.ceil(F.col("members") / TILE_POINTS)
+    maybe = compared(pairs, "key", blocks, 2 * parts, lambda rows: rows.join(points.hint("merge"), ["node", "level"]), ["node", "level", "n", "over", "counts"], lambda t: plausible(t, threshold))
     groups = components(maybe)
+    spent(keyed, hot, maybe)
 
     nodes = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     candidates = written(groups.join(nodes, "node").select("node", "doc_id", "n", F.col("component").alias("group")), "candidates")
     weights = candidates.groupBy("group").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
-    sets = sets_of(docs, size, marked(candidates, "doc_id")).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
-    wanted = candidates.select("doc_id", "node", "group")
-    sets = sets.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node"))).drop("_id", "_node")
-    sets = tiled(sets.join(weights, "group"), "group", "node", F.col("blocks"), 2 * parts)
-    links = sets.select("part", "tile", "node", "packed").groupBy("part").applyInArrow(lambda t: verified(t, threshold), "a long, b long")
+    wanted = written(spread_join(candidates.select("doc_id", "node", "group"), weights, "group"), "wanted")
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        sets = sets_of(docs, size, marked(rows, "doc_id")).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
+        return sets.join(rows.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node"))).drop("_id", "_node")
+
+    links = compared(wanted, "group", F.col("blocks"), 2 * parts, with_sets, ["node", "packed"], lambda t: verified(t, threshold))
     labels = components(links)
+    spent(links, candidates, wanted)
 
-    named = labels.join(nodes.select("node", "doc_id"), "node")
+    named = written(labels.join(nodes.select("node", "doc_id"), "node"), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    labelled = named.join(least, "component").select("node", "least")
+    labelled = spread_join(named, least, "component").select("node", "least")
     classes = nodes.join(labelled, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return own.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    return spread_join(own.where("n > 0"), classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
