@@ -12,7 +12,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,16 +22,24 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import batches
 
-# Fixed values of HTML: tags without an end, tags whose text is no text, tags inside a line.
+# Fixed values of HTML: tags without an end, tags whose content is raw text up to their end tag, tags whose
+# text is never the page's, tags inside a line, tags that end a paragraph, ends that a new tag implies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style noscript template textarea select svg math iframe object canvas audio video title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input button".split())
+RAW = frozenset("script style textarea title".split())
+UNSEEN = frozenset("head script style textarea select".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i iframe ins kbd label mark math noscript object picture q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr img input button".split())
+FORMULA = frozenset("math svg".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_IMPLIED = {t: frozenset(["p"]) for t in CLOSES_P} | {t: frozenset([t, "p"]) for t in ("li", "option")} | {t: frozenset(["dd", "dt", "p"]) for t in ("dd", "dt")} | {t: frozenset(["td", "th", "p"]) for t in ("td", "th")} | {"tr": frozenset(["tr", "td", "th", "p"])}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_END_OR_QUOTE = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_LONG_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{9,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{9,});?")
+_ZEROS = re.compile(r"(?<=&#)0{20,}|(?<=&#[xX])0{20,}")
 
 
 class Block(NamedTuple):
@@ -39,100 +47,178 @@ class Block(NamedTuple):
     features: tuple[str, ...]
 
 
-class _Open:
-    __slots__ = ("names", "tag")
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of tags, comments and declarations in page order, read forward once.
 
-    def __init__(self, tag: str, names: tuple[str, ...]) -> None:
-        self.tag, self.names = tag, names
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order with their features. Broken markup is read as far as it goes."""
+    ``name`` is lower case, with a slash in front for an end tag, and empty for comments and the like. A
+    quote that is never closed is an ordinary character; where no tag end is left outside of quotes, quotes
+    count no more from there on; where none is left at all, the rest is text. Open comments and raw text
+    reach to the end of the page. So no character is looked at more than a fixed number of times.
+    """
+    last = {q: page.rfind(q) for q in "\"'"}
+    ends, quotes, at = page.rfind(">"), True, 0
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            yield start, end, "", ""
+            at = end
+            continue
+        if start > ends:
+            return
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.index(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = _NAME.match(page, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end = _tag_end(page, name.end(), last) if quotes else -1
+        if end < 0:
+            quotes, end = False, page.index(">", name.end())
+        tag = name[0].lower()
+        yield start, end + 1, tag, page[name.end() : end]
+        at = end + 1
+        if tag in RAW and page[end - 1] != "/":
+            close = _RAW_END[tag].search(page, at)
+            at = close.start() if close else len(page)
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the > that ends a tag, outside of quotes; -1 if there is none."""
+    while m := _END_OR_QUOTE.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return m.start()
+        if last[m[0]] >= at:
+            at = page.index(m[0], at) + 1
+    return -1
+
+
+class _Stack:
+    """Open elements. What blocks need of their ancestors is kept as counts, and where the last element of
+    each tag and the last block-level one stand, so that neither depth nor broken nesting costs a walk."""
+
+    def __init__(self, known: Container[str] | None) -> None:
+        self.known = known
+        self.open: list[tuple[str, tuple[str, ...], bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.block: list[int] = []  # places of block-level elements
+        self.active: dict[str, int] = {}
+        self.anchors = self.unseen = self.formula = 0
+
+    def push(self, tag: str, attributes: str, line: bool) -> None:
+        found = ["in:" + tag] if tag not in ("html", "body") else []
+        if attributes:
+            found += ["name:" + w for n in _NAMES.findall(attributes) for w in _WORD.findall(" ".join(n).lower())]
+        found = tuple(f for f in dict.fromkeys(found) if self.known is None or f in self.known)
+        for f in found:
+            self.active[f] = self.active.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if not line:
+            self.block.append(len(self.open))
+        hidden = tag in UNSEEN or (tag == "title" and not self.formula)  # a drawing's title is text
+        self.open.append((tag, found, hidden))
+        self.anchors += tag == "a"
+        self.unseen += hidden
+        self.formula += tag in FORMULA
+
+    def close(self, upto: int) -> None:
+        while len(self.open) > upto:
+            tag, found, hidden = self.open.pop()
+            self.places[tag].pop()
+            if self.block and self.block[-1] == len(self.open):
+                self.block.pop()
+            for f in found:
+                if self.active[f] == 1:
+                    del self.active[f]
+                else:
+                    self.active[f] -= 1
+            self.anchors -= tag == "a"
+            self.unseen -= hidden
+            self.formula -= tag in FORMULA
+
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else -1
+
+    def leaf(self) -> str:
+        return self.open[self.block[-1]][0] if self.block else "none"
+
+
+def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order with their features; of ancestors' features the ``known`` ones only, if
+    given. Broken markup is read as far as it goes, in time proportional to the page."""
     page = page or ""
-    stack: list[_Open] = []
+    stack = _Stack(known)
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    anchors = unseen = 0
 
     def flush() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
+        text = _SPACE.sub(" ", unescaped("".join(parts))).strip() if parts else ""
         if text:
-            out.append(Block(text, tuple(_features(stack, text, linked))))
+            out.append(Block(text, ("any", *stack.active, "leaf:" + stack.leaf(), *_of_text(text, linked))))
         parts.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal anchors, unseen
-        while len(stack) > upto:
-            gone = stack.pop().tag
-            anchors -= gone == "a"
-            unseen -= gone in UNSEEN
+    def put(text: str) -> None:
+        nonlocal linked
+        if text and not stack.unseen:
+            parts.append(text)
+            linked += len(text) * bool(stack.anchors)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not unseen:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * bool(anchors)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, tag, attributes in tags(page):
+        put(page[at:start])
+        at = end
+        if not tag:
+            continue
+        if tag == "br":
+            parts.append("\n")
             continue
-        tag = tag.lower()
-        line = tag in INLINE
-        if tag == "br" or not line:
-            if tag == "br":
-                parts.append("\n")
-                continue
+        ending = tag[0] == "/"
+        tag = tag.removeprefix("/")
+        line = tag in INLINE or bool(stack.formula)
+        if not line:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if line and stack[k].tag not in INLINE:
-                    break
+        if ending:
+            place = stack.last(tag)
+            if place >= 0 and not (line and stack.block and stack.block[-1] > place):
+                stack.close(place)
             continue
         if tag in VOID:
             continue
-        if tag == "body":  # ends a head that was left open
-            close(next((k for k, x in enumerate(stack) if x.tag == "head"), len(stack)))
-        if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            own = {"p"} if tag in CLOSES_P else {tag, "p", "dd", "dt"} if tag in ("dd", "dt") else {tag, "td", "th", "p"} if tag == "tr" else {"td", "th", "p"} if tag in ("td", "th") else {tag, "p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in own:
-                    close(k)
-                elif stack[k].tag not in INLINE:
-                    break
-        if m[0].endswith("/>"):
-            continue
-        names = tuple(w for n in _NAMES.findall(m[4]) for w in _WORD.findall(" ".join(n).lower())) if m[4] else ()
-        stack.append(_Open(tag, names))
-        anchors += tag == "a"
-        unseen += tag in UNSEEN
-    if at < len(page) and not unseen:
-        parts.append(page[at:])
+        if tag == "body" and stack.last("head") >= 0:  # ends a head that was left open
+            stack.close(stack.last("head"))
+        for_end = _IMPLIED.get(tag, ())
+        while not line and stack.block and stack.open[stack.block[-1]][0] in for_end:
+            stack.close(stack.block[-1])
+        if not attributes.endswith("/"):
+            stack.push(tag, attributes, line)
+    put(page[at:])
     flush()
     return out
 
 
+def unescaped(text: str) -> str:
+    """Text with its character references decoded; numbers of any length are read."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_REFERENCE.sub("\ufffd", _ZEROS.sub("0", text))
+    return entities.unescape(text)
+
+
 _SAYS = re.compile(r"cookie|©|copyright|all rights reserved|subscribe|newsletter|sign up|log in|advert|sponsor|privacy|terms|related|read more|share|reply|comment|menu|skip to", re.I)
 
 
-def _features(stack: list[_Open], text: str, linked: int) -> Iterator[str]:
-    yield "any"
-    seen = set()
-    for depth, x in enumerate(reversed(stack)):
-        if x.tag not in ("html", "body") and x.tag not in seen:
-            seen.add(x.tag)
-            yield "in:" + x.tag
-        for w in x.names:
-            if w not in seen:
-                seen.add(w)
-                yield "name:" + w
-    tag = next((x.tag for x in reversed(stack) if x.tag not in INLINE), "none")
-    yield "leaf:" + tag
+def _of_text(text: str, linked: int) -> Iterator[str]:
     n = len(text)
     yield f"length:{min(9, n.bit_length())}"
     share = linked / n
@@ -227,7 +313,7 @@ class Decoder:
 
 
 def main_text(page: str | None, chain: Chain | Decoder) -> str:
-    own = blocks(page)
+    own = blocks(page, chain.index)
     return "\n".join(b.text for b, y in zip(own, decode(own, chain), strict=True) if y)
 
 
@@ -374,8 +460,9 @@ def trained(count: int = 400, seed: int = 11) -> Chain:
 def extract(pages: DataFrame, chain: Chain) -> DataFrame:
     """(page_id, url, text, n_chars) per row, from the whole page.
 
-    Null and empty pages, and pages without content, have an empty text; ``n_chars`` counts code points;
-    repeated rows give equal rows; an empty table gives none; other columns are ignored.
+    Null and empty pages, and pages without content, have an empty text; ``n_chars`` counts code points.
+    Very long, very deep and broken pages are read whole, in time proportional to their length (``tags``
+    says how); repeated rows give equal rows; an empty table gives none; other columns are ignored.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
