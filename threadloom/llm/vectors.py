@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def packed(df: DataFrame, integers: int = 0) -> DataFrame:
-    """(vec_id, width, norm, vec): components as little-endian doubles, or as longs floor(integers * x).
+def packed(df: DataFrame) -> DataFrame:
+    """(vec_id, width, norm, vec): components as little-endian doubles.
 
     ``vec`` is null where the vector is null or holds null or non-finite components; ``norm`` tells whether
-    it has a length.
+    it has a length, however small or large.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,9 +28,9 @@ def packed(df: DataFrame, integers: int = 0) -> DataFrame:
                 if own is not None and not own.null_count:
                     x = own.to_numpy(zero_copy_only=False).astype("<f8")
                     if np.isfinite(x).all():
-                        vec = np.floor(integers * x).astype("<i8").tobytes() if integers else x.tobytes()
+                        vec = x.tobytes()
                 out.append(vec)
-                norms.append(vec is not None and bool((x * x).sum() > 0) and bool(np.isfinite((x * x).sum())))
+                norms.append(vec is not None and bool(x.any()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0 if v is None else len(v) // 8 for v in out], pa.int32()), pa.array(norms, pa.bool_()), pa.array(out, pa.binary())], ["vec_id", "width", "norm", "vec"])
 
     return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, width int, norm boolean, vec binary")
