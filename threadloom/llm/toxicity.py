@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, crc_fold
+from threadloom.llm.common import batches, crc_fold, worker_state
+from threadloom.llm.shingles import mixed
 
 LENGTH, SPAN, DECAY = 4, 7, 0.85
 #: The labelled sample that is fitted at most, per label.
@@ -46,12 +47,27 @@ _SPELT = re.compile(r"(?<!\w)(?:\w[^\w\n]){3,}\w(?!\w)")
 _MARKS = re.compile(r"\W")
 
 
-def spelt(text: str) -> str:
-    """A text, followed by the words that it spells out letter by letter."""
-    found = _SPELT.findall(text)
-    return " ".join([text, *(_MARKS.sub("", x) for x in found)]) if found else text
+#: Characters of scripts that part no words by blanks, and pictures.
+_WIDE = re.compile("[\u0e00-\u0eff\u2600-\u27bf\u2e80-\u2fff\u3005-\u3007\u3021-\ua4cf\uac00-\ud7af\uf900-\ufaff\U0001f000-\U0001faff\U00020000-\U0003ffff]+")
 
 
+def pairs(text: str) -> list[str]:
+    """Neighbours in runs of such characters as words of two; a single one is taken twice."""
+    if text.isascii():
+        return []
+    return [p for run in _WIDE.findall(text) for p in (map("".join, zip(run, run[1:], strict=False)) if len(run) > 1 else [run * 2])]
+
+
+def expanded(text: str) -> str:
+    """A text, followed by the words that it spells out letter by letter and by its pairs."""
+    found = [_MARKS.sub("", x) for x in _SPELT.findall(text)] + pairs(text)
+    return " ".join([text, *found]) + " " if found else text
+
+
+#: Lengths of the beginnings of words that may be landmarks; texts are scored whole whatever these are.
+STEMS = (*range(LENGTH, 11), 12, 16, 24, 32)
+#: Places in the table of the terms' hashes.
+TABLE = 1 << 21
 #: Marks next to a word; they count as blanks.
 EDGES = ".,;:!?\"'()*$&%#|"
 _BLANKS = (9, 10, 11, 12, 13, 32)
@@ -133,28 +149,52 @@ class Kernel:
                     out[u.translate(_FOLD)] = out.get(u.translate(_FOLD), 0.0) + v
             maps.append(both[0])
             sizes.append(sum(v * both[1][u] for u, v in both[0].items()) or 1.0)
-        letters = Counter(c for x in landmarks for c in x.translate(_FOLD))
-        self.classes = np.zeros(0x3000, np.uint16)  # 0: in no landmark
-        for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))):
-            if ord(c) < len(self.classes):
-                self.classes[ord(c)] = 1 + k % 31
-        self.classes[list(_FOLD)] = self.classes[32]
-        terms: dict[int, dict[int, float]] = {}
+        #: The landmarks' characters in order; a character's class is its place from 1 on, 0 is in no landmark.
+        self.letters = np.array(sorted({ord(c) for m in maps for u in m for c in u}), np.uint32)
+        self.base = len(self.letters) + 1
+        self.low = np.zeros(0x3000, np.int32)
+        self.low[self.letters[self.letters < 0x3000]] = 1 + np.flatnonzero(self.letters < 0x3000)
+        self.low[list(_FOLD)] = self.low[32]
+        terms: dict[tuple[int, ...], dict[int, float]] = {}
         for k, (m, size) in enumerate(zip(maps, sizes, strict=True)):
             for u, v in m.items():
-                code = 0
-                for c in u:
-                    code = code << 5 | int(self.classes[ord(c)] if ord(c) < len(self.classes) else 0)
-                terms.setdefault(code, {})[k] = terms.get(code, {}).get(k, 0.0) + v / size
-        self.term = np.zeros(1 << 20, np.int32)
-        self.term[list(terms)] = np.arange(1, len(terms) + 1)
-        rows = [sorted(t.items()) for t in terms.values()]
+                own = terms.setdefault(tuple(self.classes(np.array([ord(c) for c in u], np.uint32)).tolist()), {})
+                own[k] = own.get(k, 0.0) + v / size
+        names = sorted(terms)
+        rows = [sorted(terms[u].items()) for u in names]
+        c = np.array(names, np.int64).reshape(-1, LENGTH)
+        # a term's number from its two pairs of classes; and a table of the hashes of terms, which leaves few places to look up
+        pairs = c[:, 0] * self.base + c[:, 1], c[:, 2] * self.base + c[:, 3]
+        self.begins, self.ends = (np.unique(x) for x in pairs)
+        code = np.searchsorted(self.begins, pairs[0]) * len(self.ends) + np.searchsorted(self.ends, pairs[1])
+        self.order = np.argsort(code)
+        self.codes = code[self.order]
+        self.hashes = [(mixed(np.arange(self.base, dtype=np.uint64) + np.uint64(7000 * k + 1)) & np.uint64(TABLE - 1)).astype(np.int32) for k in range(LENGTH)]
+        self.table = np.zeros(TABLE, bool)
+        self.table[self.hashes[0][c[:, 0]] ^ self.hashes[1][c[:, 1]] ^ self.hashes[2][c[:, 2]] ^ self.hashes[3][c[:, 3]]] = True
         self.first = np.cumsum([0, *map(len, rows)])
         self.landmark = np.array([k for r in rows for k, _ in r], np.int64)
         self.weight = np.array([v for r in rows for _, v in r])
         self.count = len(landmarks)
         self.short = np.array([x[0] == " " for x in landmarks], bool)  # these count as a whole and without gaps only
 
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """Classes of code points, over all of Unicode; white space and marks beside words count as blanks."""
+        out = self.low[np.minimum(points, len(self.low) - 1)]
+        high = np.flatnonzero(points >= len(self.low) - 1)
+        if len(high) and len(self.letters):
+            at = np.minimum(np.searchsorted(self.letters, points[high]), len(self.letters) - 1)
+            out[high] = np.where(self.letters[at] == points[high], at + 1, 0)
+        return out
+
+    def _terms(self, c: np.ndarray, at: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
+        """Numbers of the terms at places, -1 where there is none."""
+        first, second = c[at + pattern[0]] * np.int64(self.base) + c[at + pattern[1]], c[at + pattern[2]] * np.int64(self.base) + c[at + pattern[3]]
+        x, y = (np.minimum(np.searchsorted(known, v), len(known) - 1) for known, v in ((self.begins, first), (self.ends, second)))
+        code = x * len(self.ends) + y
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.begins[x] == first) & (self.ends[y] == second) & (self.codes[k] == code), self.order[k], -1)
+
     def windows(self, texts: list[str]) -> Values:
         """The windows with a value of ``LEAST`` at least."""
         found = []
@@ -180,23 +220,25 @@ class Kernel:
 
     def _windows(self, texts: list[str]) -> Values:
         gap = "\0" * (2 * BUCKET + SPAN)
-        lowered = [spelt(t.lower()) for t in texts]
+        lowered = [expanded(t.lower()) for t in texts]
         points = np.frombuffer((gap.join(lowered) + gap).encode("utf-32-le", "replace"), np.uint32)
         starts = np.cumsum([0, *(len(t) + len(gap) for t in lowered)])[:-1]
-        c = self.classes[np.minimum(points, len(self.classes) - 1)]
+        c = self.classes(points)
         n = len(c) - SPAN
         blank = np.isin(points, _BLANKS)
         near = np.pad(blank, 2)
         crossed = np.cumsum(blank & ~near[:-4] & ~near[4:])
         at, term, scale, width = [], [], [], []
-        two = {g: (c[:n] << 5 | c[g : g + n]).astype(np.int32) << 10 for g in range(1, SPAN - 2)}
-        last = {(a, b): c[a : a + n] << 5 | c[b : b + n] for a in range(2, SPAN - 1) for b in range(a + 1, SPAN)}
+        h = [x[c] for x in self.hashes]
+        two = {g: h[0][:n] ^ h[1][g : g + n] for g in range(1, SPAN - 2)}
+        last = {(a, b): h[2][a : a + n] ^ h[3][b : b + n] for a in range(2, SPAN - 1) for b in range(a + 1, SPAN)}
         for p in _PATTERNS:
-            t = self.term[two[p[1]] | last[p[2], p[3]]]
-            hit = np.flatnonzero(t)
+            hit = np.flatnonzero(self.table[two[p[1]] ^ last[p[2], p[3]]])
+            t = self._terms(c, hit, p) if len(hit) else hit
+            hit, t = hit[t >= 0], t[t >= 0]
             at.append(hit)
             width.append(np.full(len(hit), p[-1]))
-            term.append(t[hit].astype(np.int64) - 1)
+            term.append(t)
             scale.append(DECAY ** (p[-1] - LENGTH + 1) * ACROSS ** (crossed[hit + p[-1]] - crossed[hit]))
         at, term, scale = np.concatenate(at), np.concatenate(term), np.concatenate(scale)
         width = np.concatenate(width)
@@ -238,12 +280,13 @@ class Scorer:
 
 
 def _stems(text: str) -> set[str]:
-    """Words of a text and their beginnings of four characters and more; words of two and three characters
-    with the blanks around them."""
-    out = set()
-    for w in set(text.lower().split()):
+    """Beginnings of a text's words, of the lengths ``STEMS`` as far as the word goes; words of two and three
+    characters, and pairs, with the blanks around them."""
+    text = text.lower()
+    out = {f" {p} " for p in pairs(text)}
+    for w in set(text.split()):
         w = w.strip(EDGES)
-        out.update(w[:k] for k in range(LENGTH, min(len(w), 10) + 1))
+        out.update(w[:k] for k in STEMS if k <= len(w))
         if LENGTH - 2 <= len(w) < LENGTH:
             out.add(f" {w} ")
     return out
@@ -422,12 +465,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-_OPEN: list[tuple[tuple, Scorer]] = []
-
-
 def scorer_of(model: Model) -> Scorer:
     """One per Python worker."""
-    key = (tuple(model.landmarks), model.weights.tobytes(), model.bias, model.slope, model.offset)
-    if not _OPEN or _OPEN[0][0] != key:
-        _OPEN[:] = [(key, Scorer(model))]
-    return _OPEN[0][1]
+    return worker_state("toxicity", (tuple(model.landmarks), model.weights.tobytes(), model.bias, model.slope, model.offset), lambda: Scorer(model))
