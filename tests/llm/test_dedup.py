@@ -1,11 +1,12 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from threadloom.llm import embedding_dedup, graph, jaccard, suffix_dedup, topk
+from threadloom.llm import embedding_dedup, graph, jaccard, shingles, suffix_dedup, topk
 from threadloom.llm.shingles import Shingler
 
 DOCS = "doc_id long, text string, lang string, node long, text_hash long, kind int"
@@ -67,7 +68,11 @@ def linked_brute(sets):
     return [(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize(("points", "shingles_"), [(4096, 100_000), (6, 300)])
+def test_jaccard(spark, monkeypatch, points, shingles_):
+    """With small tiles, buckets and components of many blocks give the same."""
+    monkeypatch.setattr(jaccard, "TILE_POINTS", points)
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", shingles_)
     rng = random.Random(2)
     texts = near_texts(rng, 120)
     rows = list(enumerate(texts)) + [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "One two"), (9004, "one  TWO"), (9005, "one two three"), (9006, "a\u00a0b c"), (9007, texts[0].upper()), (9008, "rep " * 400), (9009, "rep " * 9)]
@@ -86,6 +91,24 @@ def test_jaccard(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
 
 
+def test_shingles_by_brute_force(monkeypatch):
+    """Texts hashed together, alone, or in parts give one set for one sequence of words."""
+    rng = random.Random(4)
+    monkeypatch.setattr(shingles, "CHUNK", 64)
+    words = ["a", "B", "\u00e9t\u00e9", "x" * 50, "y" * 70, "z" * 200, "\u4e2d"]
+    texts = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice([" ", "\t \n", "\x0b"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    names = {}
+    for text, h in zip(texts, Shingler(5).sets([t.encode() for t in texts]), strict=True):
+        own = "".join(c.lower() if c.isascii() else c for c in text).split()
+        brute = {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+        assert len(brute) == len(h)
+        for x in h.tolist():
+            names.setdefault(x, []).append(brute)
+        assert (Shingler(5).set_of(text.encode()) == h).all()
+    for sets in names.values():  # texts that share a hash share a shingle
+        assert set.intersection(*sets)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_join_is_exact(seed):
     rng = np.random.default_rng(seed)
@@ -158,27 +181,57 @@ def test_suffix_dedup_edges(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_run_length_index(seed):
+    """Matching statistics, and documents, of strings of the index and of others, against all substrings."""
     rng = random.Random(seed)
-    texts = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 40))) + rng.choice([b"", bytes(range(60)), b"ab" * 30]) for _ in range(60)]
+    make = lambda: bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 40))) + rng.choice([b"", bytes(range(60)), b"ab" * 30])
+    texts = sorted({make() for _ in range(60)})
     docs = np.array([rng.randint(0, 20) for _ in texts])
     index = suffix_dedup.RunLengthIndex(texts, docs)
-    got = set(zip(*(x.tolist() for x in index.repeats()), strict=True))
-    windows = defaultdict(set)
-    for t, d in zip(texts, docs, strict=True):
+    windows = defaultdict(lambda: 99)
+    for t, d in zip(texts, docs.tolist(), strict=True):
         for k in range(len(t) - 49):
-            windows[t[k : k + 50]].add(int(d))
-    wanted = {(n, k) for n, t in enumerate(texts) for k in range(len(t) - 49) if min(windows[t[k : k + 50]]) < docs[n]}
-    assert got == wanted
-    assert len(index.starts) < sum(len(t) + 1 for t in texts)
+            windows[t[k : k + 50]] = min(d, windows[t[k : k + 50]])
+    asked = texts + [make() + rng.choice([b"q", b""]) + make() for _ in range(60)]
+    seen = 0
+    for who, at, length, _ in index.stream(asked):
+        for n, k, size in zip(who.tolist(), at.tolist(), length.tolist(), strict=True):
+            longest = max(m for m in range(min(50, len(asked[n]) - k) + 1) if any(asked[n][k : k + m] in t for t in texts))
+            assert size == longest
+            seen += 1
+    assert seen == sum(map(len, asked))
+    got = {(n, k): d for n, k, d in zip(*(x.tolist() for x in index.least_of(asked)), strict=True)}
+    assert got == {(n, k): windows[t[k : k + 50]] for n, t in enumerate(asked) for k in range(len(t) - 49) if t[k : k + 50] in windows}
+    assert len(index.starts) == len(index.first_at) == len(index.last_at) < sum(len(t) + 1 for t in texts)
+
+
+def test_marks_come_from_the_index(spark, monkeypatch):
+    """Where the index finds nothing, nothing is removed but whole copies, hot passages included."""
+    monkeypatch.setattr(suffix_dedup, "marked_by_index", lambda strings, docs: (docs[:0],) * 4)  # goes to the workers by value
+    rows = list({t: (i, t) for i, t in sorted(cut_rows(1), key=lambda r: -r[0])}.values())
+    assert {r.n_removed for r in suffix_dedup.deduplicate(frame(spark, rows)).collect()} == {0}
+
+
+def test_hot_passages_are_dealt_out(spark, monkeypatch):
+    """Small batches, many crowded anchors: the result is that of brute force all the same."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", 16)
+    monkeypatch.setattr(suffix_dedup, "MANY", 20)
+    rows = cut_rows(5)
+    got = defaultdict(list)
+    for r in suffix_dedup.deduplicate(frame(spark, rows)).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in brute_cut(rows).items()}
 
 
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, width int")
 
 
-def test_embedding_dedup(spark, monkeypatch):
+@pytest.mark.parametrize(("inhabitants", "visitors"), [(100, 10**6), (100, 70), (10**6, 60)])
+def test_embedding_dedup(spark, monkeypatch, inhabitants, visitors):
+    """Tasks are cut by inhabitants and by visitors; the result is that of brute force."""
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 100)
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", inhabitants)
+    monkeypatch.setattr(embedding_dedup, "VISITOR_ROWS", visitors)
     base = rng.standard_normal((40, 64))
     x = np.vstack([base + rng.standard_normal((40, 64)) * s for s in (0, 0.2, 0.45, 0.5)] + [rng.standard_normal((200, 64)), base[:5], base[:5] * 3])
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 64), (1002, [float("nan")] + [1.0] * 63), (1003, [1.0, 2.0]), (1004, [2.0, 4.0]), (1005, [None] * 64), (1006, [])]
@@ -192,6 +245,58 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_embedding_dedup_rare_widths_and_scales(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(240):
+        v = rng.standard_normal(2 + k % 30) if k % 60 else rng.standard_normal(40)
+        rows += [(4 * k, v.tolist()), (4 * k + 1, (v * 10.0 ** rng.integers(-180, 180)).tolist()), (4 * k + 2, (v + 0.1 * rng.standard_normal(len(v))).tolist())]
+    rows.append((3, [1e-320, 0.0]))
+    nothing = [(None, rows[0][1]), (None, None)]
+    unit = {i: (x := np.array(v) / np.abs(v).max()) / np.sqrt(x @ x) for i, v in rows}
+    pairs = [(i, j) for i in unit for j in unit if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
+    roots, links = least(pairs, unit), defaultdict(int)
+    for i, _ in pairs:
+        links[i] += 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, rows + nothing)).collect()}
+    assert got == {None: (0, None)} | {i: (links[i], roots[i]) for i in unit}
+
+
+def brute_top(rows, k=10):
+    """By integers of any size; products are held in the range of a long."""
+    e = {i: [math.floor(1024 * x) if abs(x) < 2**53 else 1024 * int(x) for x in v] for i, v in rows}
+    out = []
+    for q in sorted(e):
+        if q % 100 == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e[q], v, strict=True)))), i) for i, v in e.items() if i != q and len(v) == len(e[q]))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+@pytest.mark.parametrize("large", ["queries", "candidates", "both", "all", "widths"])
+def test_top_k_of_any_magnitude(spark, large):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 6))
+    x[450:] = x[449]
+    pick = {"queries": [100, 300], "candidates": [7, 50, 333], "both": [0, 100, 101, 202], "all": range(500), "widths": [200, 201]}[large]
+    for k in pick:
+        x[k] *= rng.choice([3e6, 3e9, 1e13])
+    if large == "both":
+        x[400], x[401] = 1e300, -1e300
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    if large == "widths":
+        rows = [(k, v[: 1 + k % 5] if k % 7 == 0 else v) for k, v in rows]
+    assert sorted(map(tuple, topk.top_k(vectors(spark, rows)).collect())) == brute_top(rows)
+
+
+def test_top_k_tasks_are_bounded(spark, monkeypatch):
+    """However many queries reach a cell, a task gets a block of them."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(100 * k, v.tolist()) for k, v in enumerate(rng.standard_normal((300, 4)))]
+    assert sorted(map(tuple, topk.top_k(vectors(spark, rows)).collect())) == brute_top(rows)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.standard_normal((350, 8)), np.repeat(rng.standard_normal((1, 8)), 60, 0)])

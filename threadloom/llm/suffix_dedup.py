@@ -1,17 +1,19 @@
-"""Operator 10, removal of repeated byte strings by a run-length index.
+"""Operator 10, removal of repeated byte strings by run-length indexes.
 
 Every 50-byte window of a text belongs to its anchor, the least of its 20-byte hashes; equal windows
-have equal anchors. A run of neighbouring windows with one anchor is a span.
-1. Spans meet by anchor. Where a smaller document has the same span, all its windows are repeats.
-   Anchors that one document (text) alone has are done. What is the same within a batch is settled there.
-2. Spans that share only their anchor with others go into run-length indexes: the spans of a part are
-   one text, of which a run-compressed Burrows-Wheeler transform is built, with samples of where strings
-   of 50 bytes begin to differ and of the smallest document that has each. Each span is streamed through
-   by LF steps; a match of 50 bytes that a smaller document has is marked.
-3. Anchors that very many documents share are no key for a task: their windows are dealt out by hash.
-4. Marks meet the texts again, which are cut. Whole copies of a smaller document never go this way.
-
-Hashes of 64 bits decide that spans are the same, and windows in step 3.
+have equal anchors. A run of neighbouring windows with one anchor is a span. Hashes only tell which
+strings go into one index; what is a repeat is decided by matching statistics on bytes.
+1. Spans meet by anchor. Anchors that one document alone has are done.
+2. The spans of a part of the anchors go into a run-length index: a run-compressed Burrows-Wheeler
+   transform with sampled run ends, and the smallest document for each 50 bytes that its suffixes begin
+   with. Each span is streamed through, and a match of 50 bytes that a smaller document has is marked.
+3. Spans of anchors that very many documents share go into an index of their batch of documents first,
+   which marks most of them; the windows left are dealt out by a hash of their bytes, and each part's
+   windows go into an index of their own.
+4. Marks meet the texts again, which are cut.
+
+Of whole texts that are equal (by SHA-256) only the smallest document's goes this way: all bytes of the
+others are covered by its strings.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, mark, marked, rows_marked, written
-from threadloom.llm.shingles import mixed
+from threadloom.llm.common import batches, mark, marked, rows_marked, spent, spread_join, written
+from threadloom.llm.shingles import mixed, powers
 
 WIDTH, GRAM = 50, 20
 SPREAD = WIDTH - GRAM + 1
-#: Documents taken together; an anchor that more than one in HOT of them holds is dealt out by windows, as is one with MANY spans.
+#: Documents taken together; an anchor that more than one in HOT of them holds is dealt out by windows, as is one with MANY spans in all.
 BATCH, HOT, MANY = 1024, 64, 4096
 _CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -37,20 +39,8 @@ _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
-def _powers(base: int, count: int) -> np.ndarray:
-    """Powers of an odd number modulo 2 ** 64."""
-    out = np.ones(count, np.uint64)
-    done, step = 1, np.full(1, base, np.uint64)
-    while done < count:
-        more = min(done, count - done)
-        out[done : done + more] = out[:more] * step
-        step = step * step
-        done *= 2
-    return out
-
-
-_UP = _powers(_FACTOR, _CHUNK + 256)
-_DOWN = _powers(pow(_FACTOR, -1, 1 << 64), _CHUNK + 256)
+_UP = powers(_FACTOR, _CHUNK + 256)
+_DOWN = powers(pow(_FACTOR, -1, 1 << 64), _CHUNK + 256)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,8 +53,8 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: total - width + 1], x[rest : rest + total - width + 1]) if rest else x
 
 
-def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows - 1, anchor, hash) of every span of every text."""
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows - 1, anchor) of every span of every text."""
     out: list[tuple] = []
     for own, starts, data in _pieces(texts):
         n = len(data)
@@ -80,12 +70,11 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         same[1:-1] = (least[1:] == least[:-1]) & (piece[1 : len(valid)] == piece[: len(valid) - 1])
         lo = np.flatnonzero(valid & ~same[:-1])
         hi = np.flatnonzero(valid & ~(same[1:] & np.append(valid[1:], False)))
-        whole = mixed((total[hi + WIDTH] - total[lo]) * _DOWN[lo] + (hi - lo).astype(np.uint64))
         k = piece[lo]
         number, offset = np.array([x for x, _ in own]), np.array([y for _, y in own])
-        out.append((number[k], lo - starts[k] + offset[k], hi - lo, mixed(least[lo] >> np.uint64(20)), whole))
+        out.append((number[k], lo - starts[k] + offset[k], hi - lo, mixed(least[lo] >> np.uint64(20))))
     if not out:
-        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64), np.empty(0, np.uint64))
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -112,123 +101,144 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], np.ndar
         yield ready()
 
 
-ENTRY = np.dtype([("anchor", "<u4"), ("hash", "<u8"), ("where", "<u2"), ("first", "<u4")])
+ENTRY = np.dtype([("anchor", "<u4"), ("where", "<u2"), ("first", "<u4")])
 SPAN = np.dtype([("anchor", "<u8"), ("first", "<u4"), ("more", "<u4")])
-#: Kinds of a span: repeats a smaller document; to be looked up in an index; to be looked up by windows.
-REPEAT, INDEX, WINDOWS = 0, 1, 2
+WINDOW = np.dtype([("doc", "<u4"), ("at", "<u4"), ("bytes", f"V{WIDTH}")])
+#: What a row of ``meet`` holds: marks; spans for an index by anchors; spans, and windows, for an index by windows.
+MARKS, INDEX, WINDOWS, CUT_WINDOWS = 0, 1, 2, 3
+#: Sections of a batch: spans by their anchor, marks, windows, anchors that are crowded in the batch.
+_SPANS, _MARKS, _WINDOWS, _CROWDED = 0, 1, 2, 3
 FOUND = "doc_id long, text_hash long, kind int, spans binary"
 
 
 def meet(docs: DataFrame, buckets: int) -> DataFrame:
-    """Spans that may be repeats, by document and kind: (doc_id, text_hash, kind, spans)."""
+    """What has to be looked up in the indexes, by document and kind, and what batches found on their own:
+    (doc_id, text_hash, kind, spans)."""
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, BATCH):
+        for b in batches(it, BATCH, sized=1):
             ids, names = b.column(0).to_numpy(), b.column(2).to_numpy()
             order = np.argsort(ids, kind="stable")
             _, first = np.unique(names[order], return_index=True)  # the first of equal texts stands for them
             keep = np.sort(order[first])
             ids, names = ids[keep], names[keep]
             texts = [b.column(1)[int(k)].as_py() or b"" for k in keep]
-            text, lo, more, anchor, whole = spans(texts)
+            text, lo, more, anchor = spans(texts)
             if not len(text):
                 continue
-            out = np.empty(len(text), ENTRY)
-            out["anchor"], out["hash"], out["where"], out["first"] = anchor & np.uint64(0xFFFFFFFF), whole, text << 6 | more, lo
-            # the same span of a smaller document in this batch settles it
-            by = np.lexsort((ids[text], whole))
-            head = np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
-            least = ids[text][by][np.flatnonzero(head)][np.cumsum(head) - 1]
-            settled = np.zeros(len(text), bool)
-            settled[by] = ids[text][by] > least
-            # anchors of many documents
-            by = np.lexsort((text, anchor))
-            new = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]])
-            other = new | np.concatenate([[True], text[by][1:] != text[by][:-1]])
-            group = np.cumsum(new) - 1
-            holders = np.bincount(group, other)
+            key = anchor & ~np.uint64(2 * BATCH - 1) | text.astype(np.uint64)
+            by = np.argsort(key)
+            key = key[by]
+            other = np.concatenate([[True], key[1:] != key[:-1]])
+            key >>= np.uint64((2 * BATCH).bit_length() - 1)
+            group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
             crowded = np.zeros(len(text), bool)
-            crowded[by] = (holders > max(16, len(texts) // HOT))[group]
-            witness = np.zeros(len(text), bool)
-            witness[by[np.flatnonzero(new)]] = True
-            section = np.where(settled, 2, np.where(crowded, 1, 0))
-            spread = np.where(section == 0, anchor, mixed(whole + text.astype(np.uint64)))
-            extra = np.flatnonzero(crowded & witness)  # tells the anchor's own bucket that it is crowded
-            rows = np.concatenate([np.arange(len(text)), extra])
-            section = np.concatenate([section, np.full(len(extra), 3)])
-            bucket = ((np.concatenate([spread, anchor[extra]]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((section, bucket))
-            rows, section, bucket = rows[order], section[order], bucket[order]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (section[1:] != section[:-1])])), len(rows))
-            columns: tuple[list, ...] = ([], [], [], [], [])
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                own = out[rows[x:y]].copy()
-                used, own_text = np.unique(own["where"] >> 6, return_inverse=True)
-                own["where"] = own_text << 6 | own["where"] & 63
-                for column, value in zip(columns, (int(bucket[x]), int(section[x]), own.tobytes(), ids[used].tobytes(), names[used].tobytes()), strict=True):
-                    column.append(value)
+            crowded[by] = (np.bincount(group, other) > max(8, len(texts) // HOT))[group]
+            out: list[tuple] = []
+            # crowded anchors: the batch's own index marks what its smaller documents have; the other windows go on
+            own = np.flatnonzero(crowded)
+            if len(own):
+                strings = [texts[t][x : x + n] for t, x, n in zip(text[own].tolist(), lo[own].tolist(), (more[own] + WIDTH).tolist(), strict=True)]
+                hit, at, left, left_at = marked_by_index(strings, ids[text[own]])
+                for t, starts in _by(text[own[hit]], lo[own[hit]] + at):
+                    out.append((int(mixed(names[t : t + 1].view(np.uint64))[0] % np.uint64(buckets)), _MARKS, _intervals(starts).tobytes(), ids[t : t + 1].tobytes(), names[t : t + 1].tobytes()))
+                for t, starts in _by(text[own[left]], lo[own[left]] + left_at):
+                    windows = np.zeros(len(starts), WINDOW)
+                    windows["at"] = starts
+                    windows["bytes"] = _windows(np.frombuffer(texts[t], np.uint8), starts)
+                    out.append((int(mixed(names[t : t + 1].view(np.uint64))[0] % np.uint64(buckets)), _WINDOWS, windows.tobytes(), ids[t : t + 1].tobytes(), names[t : t + 1].tobytes()))
+            told = np.unique(anchor[own])
+            for k, part in _by((told >> np.uint64(32)) % np.uint64(buckets), told):
+                out.append((int(k), _CROWDED, part.tobytes(), b"", b""))
+            # the others by anchor
+            rest = np.flatnonzero(~crowded)
+            bucket = ((anchor[rest] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            entry = np.empty(len(rest), ENTRY)
+            entry["anchor"], entry["where"], entry["first"] = anchor[rest] & np.uint64(0xFFFFFFFF), text[rest] << 6 | more[rest], lo[rest]
+            for k, part in _by(bucket, entry):
+                used, place = np.unique(part["where"] >> 6, return_inverse=True)
+                part["where"] = place << 6 | part["where"] & 63
+                out.append((int(k), _SPANS, part.tobytes(), ids[used].tobytes(), names[used].tobytes()))
+            columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "section", "packed", "ids", "names"])
 
     def gather(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        packed, ids, names, parts, base = [], [], [], [], 0
+        parts, ids, names, base = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        told = [np.empty(0, np.uint64)]
+        out: list[tuple] = []
         for section, x, i, n in zip(t.column("section").to_pylist(), t.column("packed"), t.column("ids"), t.column("names"), strict=True):
-            own = np.frombuffer(x.as_py(), ENTRY)
-            i = np.frombuffer(i.as_py(), np.int64)
-            packed.append(own)
-            parts.append((np.full(len(own), section), base + (own["where"] >> 6).astype(np.int64)))
-            ids.append(i)
-            names.append(np.frombuffer(n.as_py(), np.int64))
-            base += len(i)
-        e, ids, names = np.concatenate(packed), np.concatenate(ids), np.concatenate(names)
-        section, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        anchor = e["anchor"].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-        kind = np.full(len(e), -1)
-        kind[section == 2] = REPEAT
-        # spans of one hash: those of larger documents repeat the least one's
-        for s in (0, 1):
-            at = np.flatnonzero(section == s)
-            if not len(at):
-                continue
-            by = at[np.lexsort((ids[doc[at]], e["hash"][at], anchor[at]))]
-            head = np.concatenate([[True], (anchor[by][1:] != anchor[by][:-1]) | (e["hash"][by][1:] != e["hash"][by][:-1])])
-            least = ids[doc[by]][np.flatnonzero(head)][np.cumsum(head) - 1]
-            kind[by] = np.where(ids[doc[by]] > least, REPEAT, WINDOWS if s else -1)
-        at = np.flatnonzero((section == 0) | (section == 3))
-        by = at[np.lexsort((names[doc[at]], anchor[at]))]
-        new = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]]) if len(by) else np.empty(0, bool)
-        other = new | np.concatenate([[True], names[doc[by]][1:] != names[doc[by]][:-1]]) if len(by) else new
-        group = np.cumsum(new) - 1
-        texts = np.bincount(group, other) if len(by) else np.empty(0)
-        crowded = np.bincount(group, (section[by] == 3) | (texts[group] > MANY)) > 0 if len(by) else np.empty(0, bool)
-        shared = texts > 1
-        left = kind[by] < 0
-        kind[by] = np.where(left, np.where(crowded[group], WINDOWS, np.where(shared[group], INDEX, -1)), kind[by])
-        at = np.flatnonzero((kind >= 0) & (section != 3))
-        span = np.empty(len(at), SPAN)
-        span["anchor"], span["first"], span["more"] = anchor[at], e["first"][at], e["where"][at] & 63
-        by = np.lexsort((kind[at], names[doc[at]], ids[doc[at]]))
-        at, span = at[by], span[by]
-        i, n, k = ids[doc[at]], names[doc[at]], kind[at]
-        cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (k[1:] != k[:-1])])) if len(at) else np.empty(0, np.int64)
-        groups = np.split(span, cut[1:]) if len(at) else []
-        packed = [_interval_bytes(g) if kind_ == REPEAT else g.tobytes() for g, kind_ in zip(groups, k[cut], strict=True)]
-        return pa.table({"doc_id": i[cut], "text_hash": n[cut], "kind": k[cut].astype(np.int32), "spans": pa.array(packed, pa.binary())})
+            x = x.as_py()
+            i, n = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+            if section == _CROWDED:
+                told.append(np.frombuffer(x, np.uint64))
+            elif section != _SPANS:
+                out.append((int(i[0]), int(n[0]), MARKS if section == _MARKS else CUT_WINDOWS, x))
+            else:
+                own = np.frombuffer(x, ENTRY)
+                parts.append((own["anchor"].astype(np.uint64) | np.uint64(bucket) << np.uint64(32), own["first"], own["where"] & 63, base + (own["where"] >> 6).astype(np.int64)))
+                ids.append(i)
+                names.append(n)
+                base += len(i)
+        ids, names, told = np.concatenate(ids), np.concatenate(names), np.unique(np.concatenate(told) & np.uint64(0xFFFFFFFF) | np.uint64(bucket) << np.uint64(32))
+        if parts:
+            anchor, first, more, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
+            # the first of equal texts stands for them here too
+            by = np.lexsort((ids, names))
+            chosen = np.zeros(len(ids), bool)
+            chosen[by[np.concatenate([[True], names[by][1:] != names[by][:-1]])]] = True
+            keep = chosen[doc]
+            anchor, first, more, doc = anchor[keep], first[keep], more[keep], doc[keep]
+            key = anchor << np.uint64(32) | doc.astype(np.uint64)  # a bucket's anchors differ in the lower half
+            by = np.argsort(key)
+            key = key[by]
+            other = np.concatenate([[True], key[1:] != key[:-1]])
+            new = np.concatenate([[True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)])
+            group = np.cumsum(new) - 1
+            holders = np.bincount(group, other)
+            crowded = np.isin(anchor[by[new]], told) | (np.bincount(group) > MANY)
+            kind = np.where(crowded, WINDOWS, np.where(holders > 1, INDEX, -1))[group]
+            at, kind = by[kind >= 0], kind[kind >= 0]
+            span = np.empty(len(at), SPAN)
+            span["anchor"], span["first"], span["more"] = anchor[at], first[at], more[at]
+            by = np.lexsort((kind, doc[at]))
+            at, span, kind = at[by], span[by], kind[by]
+            d = doc[at]
+            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (kind[1:] != kind[:-1])])) if len(at) else np.empty(0, np.int64)
+            out += [(i, n, k, s.tobytes()) for i, n, k, s in zip(ids[d[cut]].tolist(), names[d[cut]].tolist(), kind[cut].tolist(), np.split(span, cut[1:]) if len(cut) else [], strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, p) for c, v, p in zip(("doc_id", "text_hash", "kind", "spans"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
 
     return docs.mapInArrow(split, "bucket int, section int, packed binary, ids binary, names binary").groupBy("bucket").applyInArrow(gather, FOUND)
 
 
-def _interval_bytes(span: np.ndarray) -> bytes:
-    """Covered byte intervals (start, end) as 32-bit pairs."""
-    return np.stack([span["first"], span["first"] + span["more"] + WIDTH], 1).astype("<u4").tobytes()
+def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Values of each key, in order."""
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+    key, value = key[order], value[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    yield from zip(key[cut].tolist(), np.split(value, cut[1:]) if len(cut) else [], strict=True)
+
+
+def _intervals(starts: np.ndarray) -> np.ndarray:
+    """Byte intervals (start, end) as 32-bit pairs that windows cover."""
+    starts = np.sort(starts)
+    run = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + WIDTH]))
+    return np.stack([starts[run], starts[np.append(run[1:], len(starts)) - 1] + WIDTH], 1).astype("<u4")
+
+
+def _windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bytes of windows."""
+    return np.ascontiguousarray(data[starts[:, None] + np.arange(WIDTH)]).view(f"V{WIDTH}").ravel()
 
 
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of many short strings, each with its own end mark.
 
-    ``heads`` and ``starts`` are the runs; per symbol the lengths of its runs are summed for LF steps.
-    Samples are kept where the first WIDTH bytes of the sorted suffixes change: rows between two samples
-    begin with the same string, and ``least`` is the smallest document that has it.
+    ``heads`` and ``starts`` are the runs; per symbol the lengths of its runs are summed for LF steps. At both
+    ends of every run the place of its suffix in the strings is sampled: from there matching statistics go on
+    where a run has another symbol than the streamed string. Rows are also sampled where their first WIDTH
+    bytes change, with the smallest document that has these bytes.
     """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray) -> None:
@@ -238,75 +248,130 @@ class RunLengthIndex:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + count
         data[ends] = np.arange(count)  # end marks are smaller than all bytes, each a symbol of its own
         owner = np.repeat(np.arange(count), lengths)
-        # ranks by the first 3 symbols in one sort, then by doubling; end marks make all suffixes differ
-        base = count + 257
-        tail = np.concatenate([data + 1, [0, 0]])
-        key, size, kept = (tail[:n] * base + tail[1 : n + 1]) * base + tail[2:], 3, {}
+        # ranks by the first 7 symbols in one sort, then by doubling; to begin with all end marks are one symbol
+        # that nothing follows, and suffixes that are equal up to there are put in the order of their strings
+        symbol, left = np.maximum(data - count, -1) + 2, ends[owner] - np.arange(n)
+        symbol = np.concatenate([symbol, np.zeros(7, np.int64)])
+        key, size, ranks = np.zeros(n, np.int64), 7, np.empty(n, np.int64)
+        for k in range(7):
+            key = key << 9 | np.where(left >= k, symbol[k : n + k], 0)
         while True:
-            order = np.argsort(key, kind="stable")
-            step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+            order = np.argsort(key)
+            sorted_ = key[order]
             ranks = np.empty(n, np.int64)
-            ranks[order] = step
-            if size in (3, 48):
-                kept[size] = ranks
-            if size >= 48 and step[-1] == n - 1:
+            ranks[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+            if size == 28:
+                first_28 = ranks
+            if size >= 28 and size >= int(lengths.max()):
                 break
             second = np.zeros(n, np.int64)
-            second[: n - size] = ranks[size:] + 1
+            second[: n - size] = np.where(left[: n - size] >= size, ranks[size:] + 1, 0)
             key = ranks * (n + 2) + second
             size *= 2
-        self.row_of_end = ranks[ends]
+        order = np.argsort(ranks * n + np.arange(n))
         symbols = data[order - 1]
         symbols[order == 0] = data[n - 1]
-        head = np.concatenate([[True], symbols[1:] != symbols[:-1]])
-        self.starts = np.flatnonzero(head)
+        self.starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         self.heads = symbols[self.starts]
-        lengths_of = np.diff(np.append(self.starts, n))
+        lasts = np.append(self.starts[1:], n) - 1
         self.by_symbol = np.lexsort((np.arange(len(self.heads)), self.heads))
         self.sorted_key = self.heads[self.by_symbol] * (len(self.heads) + 1) + self.by_symbol
         self.place = np.empty(len(self.heads), np.int64)
-        self.place[self.by_symbol] = np.cumsum(lengths_of[self.by_symbol]) - lengths_of[self.by_symbol]  # rows before, all symbols in order
-        # rows that begin with the same WIDTH bytes: the first 48 of them, and the last 3
-        left = order
-        inside = ends[owner[left]] - left >= WIDTH
-        a, b = kept[48][left], kept[3][np.minimum(left + WIDTH - 3, n - 1)]
+        lengths_of = (lasts - self.starts + 1)[self.by_symbol]
+        self.place[self.by_symbol] = np.cumsum(lengths_of) - lengths_of  # rows before, all symbols in order
+        self.first_at, self.last_at, self.lasts = order[self.starts], order[lasts], lasts  # sampled run ends
+        self.count, self.data = count, np.concatenate([data, np.full(WIDTH, -1)])
+        # rows that begin with the same WIDTH bytes: the first 28 of them, and the last 28
+        inside = ends[owner[order]] - order >= WIDTH
+        a, b = first_28[order], first_28[np.minimum(order + WIDTH - 28, n - 1)]
         change = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ~inside[1:] | ~inside[:-1]])
         self.samples = np.flatnonzero(change)
-        self.least = np.minimum.reduceat(docs[owner[left]], self.samples)
-        self.lengths, self.docs = lengths, docs
-
-    def back(self, rows: np.ndarray) -> np.ndarray:
-        """LF step: the rows of the suffixes that are one symbol longer."""
-        run = np.searchsorted(self.starts, rows, side="right") - 1
-        return self.place[run] + rows - self.starts[run]
-
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """(string, position) of every WIDTH-byte match that a smaller document has, by streaming each
-        string through the index from its end."""
-        rows, at = self.row_of_end.copy(), self.lengths - 1
-        live = np.arange(len(rows))
-        strings, places = [], []
+        # directories: the run, and the sample, that a row belongs to
+        self.run_of, self.sample_of = (np.repeat(np.arange(len(x), dtype=np.int32), np.diff(np.append(x, n))) for x in (self.starts, self.samples))
+        self.least = np.minimum.reduceat(docs[owner[order]], self.samples)
+
+    def stream(self, strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of strings, of whatever origin, from their ends: batches of (string, position,
+        length, row), ``length`` of the longest match that starts there (at most WIDTH), ``row`` of a suffix that has it."""
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        first = np.cumsum(sizes) - sizes
+        flat = np.concatenate([np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + self.count, np.full(WIDTH, -2)])
+        live = np.flatnonzero(sizes)
+        row, length, at = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), sizes[live] - 1
+        runs = len(self.heads)
         while len(live):
-            live = live[at[live] > 0]
-            rows[live] = self.back(rows[live])
-            at[live] -= 1
-            long = live[self.lengths[live] - 1 - at[live] >= WIDTH]
-            least = self.least[np.searchsorted(self.samples, rows[long], side="right") - 1]
-            hit = long[least < self.docs[long]]
-            strings.append(hit)
-            places.append(at[hit].copy())
-        return (np.concatenate(strings), np.concatenate(places)) if strings else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-LOOK = "part int, doc_id long, text_hash long, first long, bytes binary"
-WINDOW = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("at", "<u4")])
-MARKED = "doc_id long, text_hash long, spans binary"
+            place = first[live] + at
+            symbol = flat[place]
+            run = self.run_of[row]
+            jump = np.flatnonzero(self.heads[run] != symbol)
+            if len(jump):
+                # the nearest runs of the symbol above and below; the better of their ends by the bytes it shares
+                key = symbol[jump] * (runs + 1) + run[jump]
+                below = np.searchsorted(self.sorted_key, key)
+                best, best_row = np.full(len(jump), -1), row[jump].copy()
+                for number, sample, at_row in ((below - 1, self.last_at, self.lasts), (below, self.first_at, self.starts)):
+                    found = self.by_symbol[np.clip(number, 0, runs - 1)]
+                    fits = (number >= 0) & (number < runs) & (self.heads[found] == symbol[jump])
+                    shared = np.where(fits, self._shared(sample[found], flat, place[jump] + 1, length[jump]), -1)
+                    better = shared > best
+                    best, best_row = np.where(better, shared, best), np.where(better, at_row[found], best_row)
+                there = best >= 0
+                row[jump], length[jump] = best_row, np.maximum(best, 0)
+                run = self.run_of[row]
+                lost = np.zeros(len(live), bool)
+                lost[jump[~there]] = True  # no string has the symbol
+                row = np.where(lost, 0, self.place[run] + row - self.starts[run])
+                length = np.where(lost, 0, np.minimum(length + 1, WIDTH))
+            else:
+                row, length = self.place[run] + row - self.starts[run], np.minimum(length + 1, WIDTH)
+            yield live, at, length, row
+            more = at > 0
+            live, row, length, at = live[more], row[more], length[more], at[more] - 1
+
+    def _shared(self, sample: np.ndarray, flat: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that suffixes of the index and of streamed strings share, ``most`` at most."""
+        out = np.zeros(len(sample), np.int64)
+        on = np.flatnonzero(most > 0)
+        while len(on):  # eight at a time
+            k = out[on, None] + np.arange(8)
+            same = (self.data[np.minimum(sample[on, None] + k, len(self.data) - 1)] == flat[np.minimum(place[on, None] + k, len(flat) - 1)]) & (k < most[on, None])
+            step = np.where(same.all(1), 8, same.argmin(1))
+            out[on] += step
+            on = on[step == 8]
+        return out
+
+    def least_of(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, position, document) of every WIDTH-byte match: the smallest document that has these bytes."""
+        found: list[tuple] = [(np.empty(0, np.int64),) * 3]
+        for live, at, length, row in self.stream(strings):
+            hit = length >= WIDTH
+            found.append((live[hit], at[hit], self.least[self.sample_of[row[hit]]]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def marked_by_index(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, position) of the windows that a smaller document's string has, then of all other windows. An
+    index is built over the strings, each once, and each is streamed through it."""
+    number: dict[bytes, int] = {}
+    own = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, docs)
+    distinct = list(number)
+    string, at, smallest = RunLengthIndex(distinct, least).least_of(distinct) if distinct else (np.empty(0, np.int64),) * 3
+    order = np.argsort(string, kind="stable")
+    string, at, smallest = string[order], at[order], smallest[order]
+    times = np.bincount(string, minlength=len(distinct))
+    each = times[own]  # every holder of a string has its windows
+    index = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(times) - times)[own], each)
+    who = np.repeat(np.arange(len(own)), each)
+    hit = smallest[index] < docs[who]
+    return who[hit], at[index[hit]], who[~hit], at[index[~hit]]
 
 
-def contexts(docs: DataFrame, asked: DataFrame, kind: int) -> DataFrame:
-    """Joins the texts of documents with open spans of a kind, once."""
-    own = asked.where(F.col("kind") == kind).groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
-    return texts_of(docs, own, marked(asked.where(F.col("kind") == kind), "text_hash")).select("doc_id", "text_hash", "text", "spans")
+MARKED = "doc_id long, text_hash long, spans binary"
+CELL = "part int, settled boolean, heads binary, bytes binary, ids binary, names binary"
+#: A string of a cell: its document among the cell's, its place in there, its length.
+HEAD = np.dtype([("doc", "<u4"), ("first", "<u4"), ("size", "<u4")])
 
 
 def texts_of(docs: DataFrame, own: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -323,104 +388,115 @@ def texts_of(docs: DataFrame, own: DataFrame, marks: np.ndarray) -> DataFrame:
     return left.join(own, ["doc_id", "text_hash"])
 
 
-def by_index(found: DataFrame, parts: int) -> DataFrame:
-    """Marks of open spans by run-length indexes of parts of the anchors."""
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 500):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, name, text, lists in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                span = np.frombuffer(b"".join(lists), SPAN)
-                part = (mixed(span["anchor"]) % np.uint64(parts)).astype(np.int64)
-                for p, first, more in zip(part.tolist(), span["first"].tolist(), span["more"].tolist(), strict=True):
-                    for column, value in zip(out, (p, doc_id, name, first, text[first : first + more + WIDTH]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "doc_id", "text_hash", "first", "bytes"])
-
-    def look(t: pa.Table) -> pa.Table:
-        ids, names, first = (t.column(c).to_numpy() for c in ("doc_id", "text_hash", "first"))
-        string, at = RunLengthIndex(t.column("bytes").to_pylist(), ids).repeats()
-        return marks_table(ids[string], names[string], first[string] + at)
-
-    return found.mapInArrow(cut, LOOK).groupBy("part").applyInArrow(look, MARKED)
-
-
 def marks_table(ids: np.ndarray, names: np.ndarray, start: np.ndarray) -> pa.Table:
     """Window starts as intervals by document."""
     order = np.lexsort((start, names, ids))
     ids, names, start = ids[order], names[order], start[order]
-    if not len(ids):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
-    other = (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])
-    run = np.concatenate([[True], other | (start[1:] > start[:-1] + WIDTH)])
-    lo = start[run]
-    hi = start[np.append(np.flatnonzero(run)[1:] - 1, len(start) - 1)] + WIDTH
-    pairs = np.stack([lo, hi], 1).astype("<u4")
-    i, n = ids[run], names[run]
-    cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (n[1:] != n[:-1])]))
-    return pa.table({"doc_id": i[cut], "text_hash": n[cut], "spans": pa.array([x.tobytes() for x in np.split(pairs, cut[1:])], pa.binary())})
-
-
-def by_windows(found: DataFrame, parts: int) -> DataFrame:
-    """Marks of open spans of crowded anchors: their windows are dealt out by hash, and of equal windows
-    those of larger documents are marked. Within a batch only the least document's goes on."""
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1000):
-            hashes, docs, places = [], [], []
+    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]) if len(ids) else np.empty(0, bool)
+    run = np.flatnonzero(other | np.concatenate([[True], start[1:] > start[:-1] + WIDTH])) if len(ids) else np.empty(0, np.int64)
+    pairs = np.stack([start[run], start[np.append(run[1:], len(start)) - 1] + WIDTH], 1).astype("<u4") if len(run) else np.empty((0, 2), "<u4")
+    cut = np.flatnonzero(other[run])
+    return pa.table({"doc_id": pa.array(ids[run[cut]], pa.int64()), "text_hash": pa.array(names[run[cut]], pa.int64()), "spans": pa.array([x.tobytes() for x in np.split(pairs, cut[1:])] if len(cut) else [], pa.binary())})
+
+
+def by_indexes(docs: DataFrame, found: DataFrame, parts: int, window_parts: int) -> DataFrame:
+    """Marks of open spans. Those of crowded anchors are marked by their batch's own index first, and what it
+    leaves goes on as windows, dealt out by a hash of their bytes; the others go on whole, by anchor. An
+    index of each part marks them."""
+
+    def spans_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 1000, sized=2, most=2 << 20):
             ids, names = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for k, (text, lists) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
-                span, data = np.frombuffer(b"".join(lists), SPAN), np.frombuffer(text.as_py(), np.uint8)
-                times = span["more"].astype(np.int64) + 1
-                start = np.repeat(span["first"].astype(np.int64), times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                value = np.zeros(len(start), np.uint64)
-                for j in range(WIDTH):
-                    value = value * np.uint64(_FACTOR) + _BYTE[data[start + j]]
-                hashes.append(mixed(value))
-                docs.append(np.full(len(start), k))
-                places.append(start)
-            if not hashes:
-                continue
-            h, d, s = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-            order = np.lexsort((s, ids[d], h))
-            h, d, s = h[order], d[order], s[order]
-            head = np.concatenate([[True], h[1:] != h[:-1]])
-            least = ids[d][np.flatnonzero(head)][np.cumsum(head) - 1] if len(h) else h
-            settled = ids[d] > least
-            bucket = np.where(settled, mixed(names[d].view(np.uint64)), h) % np.uint64(parts)
-            order = np.lexsort((settled, bucket))
-            h, d, s, settled, bucket = h[order], d[order], s[order], settled[order], bucket[order]
-            at = np.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (settled[1:] != settled[:-1])])), len(h)) if len(h) else np.zeros(1, int)
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for x, y in zip(at[:-1], at[1:], strict=True):
-                own = np.empty(y - x, WINDOW)
-                used, own["doc"] = np.unique(d[x:y], return_inverse=True)
-                own["hash"], own["at"] = h[x:y], s[x:y]
-                for column, value in zip(out, (int(bucket[x]), bool(settled[x]), own.tobytes(), ids[used].tobytes(), names[used].tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "settled", "packed", "ids", "names"])
+            texts = b.column(2).to_pylist()
+            flat, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            for kind in (INDEX, WINDOWS):
+                own = [np.frombuffer(b"".join(x["spans"] for x in lists if x["kind"] == kind), SPAN) for lists in b.column(3).to_pylist()]
+                doc, span = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
+                if not len(span):
+                    continue
+                first, size = span["first"].astype(np.int64), span["more"].astype(np.int64) + WIDTH
+                if kind == INDEX:
+                    yield from cells(mixed(span["anchor"]) % np.uint64(parts), doc, first, size, base[doc] + first, flat, ids, names)
+                else:
+                    yield from batch_marks(doc, first, [texts[k][x : x + n] for k, x, n in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)], ids, names)
+
+    def windows_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 2000, sized=2, most=2 << 20):
+            packed = [np.frombuffer(x.as_py(), WINDOW) for x in b.column(2)]
+            w = np.concatenate(packed)
+            doc = np.repeat(np.arange(len(packed)), list(map(len, packed)))
+            by = np.lexsort((w["at"], doc))
+            w, doc, at = w[by], doc[by], w["at"][by].astype(np.int64)
+            run = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))  # neighbouring windows are one string
+            raw = np.ascontiguousarray(w["bytes"]).view(np.uint8).reshape(len(w), WIDTH)
+            tails = raw[:, -1].tobytes()
+            strings = [raw[x].tobytes() + tails[x + 1 : y] for x, y in zip(run.tolist(), [*run[1:].tolist(), len(w)], strict=True)]
+            yield from batch_marks(doc[run], at[run], strings, b.column(0).to_numpy(), b.column(1).to_numpy())
+
+    def batch_marks(doc: np.ndarray, first: np.ndarray, strings: list[bytes], ids: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Marks that a batch finds on its own, then cells of the windows that it leaves."""
+        hit, at, left, left_at = marked_by_index(strings, ids[doc])
+        rows = [(parts + int(k % window_parts), True, _intervals(starts).tobytes(), b"", ids[k : k + 1].tobytes(), names[k : k + 1].tobytes()) for k, starts in _by(doc[hit], first[hit] + at)]
+        if rows:
+            yield record(rows)
+        flat, base = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+        at = base[left] + left_at
+        value = np.zeros(len(left), np.uint64)
+        for k in range(WIDTH):
+            value = value * np.uint64(_FACTOR) + _BYTE[flat[at + k]]
+        yield from cells(np.uint64(parts) + mixed(value) % np.uint64(window_parts), doc[left], first[left] + left_at, np.full(len(left), WIDTH), at, flat, ids, names)
+
+    def cells(part: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, flat: np.ndarray, ids: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Strings that start at ``at`` in ``flat``, packed by part."""
+        order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+        part, doc, at = part[order], doc[order], at[order]
+        head = np.empty(len(part), HEAD)
+        head["doc"], head["first"], head["size"] = doc, first[order], size[order]
+        size = size[order]
+        ends = np.cumsum(size)
+        data = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        rows = []
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=False):
+            own = head[x:y].copy()
+            used, own["doc"] = np.unique(own["doc"], return_inverse=True)
+            rows.append((int(part[x]), False, own.tobytes(), data[int(ends[x] - size[x]) : int(ends[y - 1])], ids[used].tobytes(), names[used].tobytes()))
+        if rows:
+            yield record(rows)
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "settled", "heads", "bytes", "ids", "names"])
 
     def look(t: pa.Table) -> pa.Table:
-        e, ids, names, settled, base = [], [], [], [], 0
-        for s, x, i, n in zip(t.column("settled").to_pylist(), t.column("packed"), t.column("ids"), t.column("names"), strict=True):
-            own = np.frombuffer(x.as_py(), WINDOW)
-            e.append((own["hash"], base + own["doc"].astype(np.int64), own["at"].astype(np.int64)))
-            settled.append(np.full(len(own), s))
-            ids.append(np.frombuffer(i.as_py(), np.int64))
-            names.append(np.frombuffer(n.as_py(), np.int64))
-            base += len(ids[-1])
-        h, d, at = (np.concatenate(x) for x in zip(*e, strict=True))
-        ids, names, settled = np.concatenate(ids), np.concatenate(names), np.concatenate(settled)
-        hit = settled.copy()
-        open_ = np.flatnonzero(~settled)
-        order = open_[np.lexsort((ids[d[open_]], h[open_]))]
-        if len(order):
-            head = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            least = ids[d[order]][np.flatnonzero(head)][np.cumsum(head) - 1]
-            hit[order] = ids[d[order]] > least
-        return marks_table(ids[d[hit]], names[d[hit]], at[hit])
-
-    return found.mapInArrow(cut, "part int, settled boolean, packed binary, ids binary, names binary").groupBy("part").applyInArrow(look, MARKED)
+        heads, ids, names, base, done, strings = [np.empty(0, HEAD)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, [], []
+        for settled, h, x, i, n in zip(t.column("settled").to_pylist(), t.column("heads"), t.column("bytes"), t.column("ids"), t.column("names"), strict=True):
+            i, n = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+            if settled:
+                done.append((int(i[0]), int(n[0]), h.as_py()))
+                continue
+            own, x = np.frombuffer(h.as_py(), HEAD).copy(), x.as_py()
+            end = 0
+            for size in own["size"].tolist():
+                strings.append(x[end : end + size])
+                end += size
+            own["doc"] += base
+            heads.append(own)
+            ids.append(i)
+            names.append(n)
+            base += len(i)
+        head, ids, names = np.concatenate(heads), np.concatenate(ids), np.concatenate(names)
+        hit, at, _, _ = marked_by_index(strings, ids[head["doc"]])
+        own = head[hit]
+        found = marks_table(ids[own["doc"]], names[own["doc"]], own["first"] + at)
+        columns = list(zip(*done, strict=True)) or [[]] * 3
+        return pa.concat_tables([found, pa.table({c: pa.array(v, p) for c, v, p in zip(("doc_id", "text_hash", "spans"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})])
+
+    asked = found.where(F.col("kind").isin(INDEX, WINDOWS))
+    own = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "spans")).alias("spans"))
+    late = texts_of(docs, own, marked(asked, "text_hash")).select("doc_id", "text_hash", "text", "spans").mapInArrow(spans_of, CELL)
+    early = found.where(F.col("kind") == CUT_WINDOWS).select("doc_id", "text_hash", "spans").mapInArrow(windows_of, CELL)
+    return late.unionByName(early).groupBy("part").applyInArrow(look, MARKED)
 
 
 CUT = "doc_id long, text_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -460,16 +536,17 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     base = written(docs.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 16_000_000)
-    firsts = written(base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
+    named = base.where("doc_id is not null").groupBy("text_hash", F.col("sha").alias("first_sha")).agg(F.min("doc_id").alias("first"))
     found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), parts), "spans")
-    marks = found.where(F.col("kind") == REPEAT).select("doc_id", "text_hash", "spans")
-    marks = marks.unionByName(by_index(contexts(docs, found, INDEX), max(4 * parts, total // 2_000_000))).unionByName(by_windows(contexts(docs, found, WINDOWS), max(16, total // 4_000_000)))
+    marks = found.where(F.col("kind") == MARKS).select("doc_id", "text_hash", "spans")
+    marks = marks.unionByName(by_indexes(docs, found, max(4 * parts, total // 2_000_000), max(16, total // 4_000_000)))
     marks = written(marks, "marks")
+    spent(found)
     own = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
     cut = cut_texts(texts_of(docs, own, marked(marks, "text_hash")), with_text).dropDuplicates(["doc_id", "text_hash"])
-    rows = base.join(firsts, "sha", "left").join(cut, ["doc_id", "text_hash"], "left")
-    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= WIDTH), F.lit(False))
-    out = rows.select(
+    rows = spread_join(base, written(named, "firsts"), "text_hash", "left").join(cut, ["doc_id", "text_hash"], "left")
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("sha") == F.col("first_sha")) & (F.col("n_bytes") >= WIDTH), F.lit(False))
+    return rows.select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -477,4 +554,3 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         *([F.when(copy, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"), "text_hash"] if with_text else []),
     )
-    return out
