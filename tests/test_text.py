@@ -18,6 +18,10 @@ def one(spark, value, f):
         (T.clean_user_text, "<System-Reminder>x\ny</system-reminder>Hello   world", "Hello world"),
         (T.clean_user_text, "a <system-reminder> open", "a <system-reminder> open"),
         (lambda c: T.strip_tag(c, "<!--", "-->"), "<!<!-- a -->-- b -->c", "c"),
+        (lambda c: T.strip_tag(c, "<!--", "-->"), "<!<!<!<!-- a -->-- b -->-- c -->-- d -->e", "e"),
+        (lambda c: T.strip_tag(c, "<!--", "-->"), "<!<!-- a -->-- b <!-- c --> d -->", " d -->"),
+        (T.normalize_timestamp, "2026-05-13T01:02:03.123456789Z", "2026-05-13T01:02:03.123456789+00:00"),
+        (T.normalize_timestamp, "2026-05-13t01:02:03.123000-01:00", "2026-05-13T02:02:03.123+00:00"),
         (lambda c: T.truncate(c, 5), "ab  cd ef", "ab c..."),
         (lambda c: T.truncate(c, 5), " ab  cd ", "ab cd"),
         (T.clean_for_embedding, "keep <!-- hidden -->\n```\n" + "x\n" * 45 + "```", "keep \n[long output omitted]".replace(" \n[", "\n```[") + "```"),
@@ -73,6 +77,19 @@ def test_redact_home_and_long_chains(spark):
     long = "a_" * 20_000
     assert one(spark, long, redact) == long
     assert "hunter2" not in one(spark, "k_" * 100 + "password=hunter2", redact)
+    # a long chain changes nothing for its neighbours: a key inside a word isn't one
+    assert one(spark, "mytoken=keep " + "k_" * 80 + "token=gone a__token=keep -_token=keep x-token=gone", redact) == "mytoken=keep " + "k_" * 80 + "token=<redacted> a__token=keep -_token=keep x-token=<redacted>"
+
+
+def test_redact_withholds_what_it_cannot_read(spark, monkeypatch):
+    from threadloom.functions import redact as module
+
+    monkeypatch.setattr(module, "TOKENS", (*module.TOKENS[:-1], "(broken"))
+    assert one(spark, "anything", redact) == "<redacted>"
+    assert one(spark, None, redact) is None
+
+
+def test_redact_lists(spark):
     rows = spark.createDataFrame([(["token=abc", "x"],)], "t array<string>")
     assert rows.select(redact_all(F.col("t")).alias("t")).first()["t"] == ["token=<redacted>", "x"]
 

@@ -40,10 +40,28 @@ def clean_text(c: Column) -> Column:
     return trim_ws(collapse_spaces(F.regexp_replace(c, "\r\n", "\n")))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z in lower case; characters keep their places."""
+    return F.translate(c, _UPPER, _LOWER)
+
+
 def strip_tag(c: Column, start: str, end: str) -> Column:
-    """TXT5: from each opening mark to the next closing one. A second pass takes marks that the first one formed."""
-    pattern = rf"(?is)\Q{start}\E.*?\Q{end}\E"
-    return F.regexp_replace(F.regexp_replace(c, pattern, ""), pattern, "")
+    """TXT5: takes out the first opening mark with all up to the next closing one, until no such pair is left;
+    marks that a removal forms count. Each step uses up a closing mark, whose number bounds the steps."""
+    start, end = start.lower(), end.lower()
+
+    def step(x: Column, _: Column) -> Column:
+        low = ascii_lower(x)
+        at = F.instr(low, start)
+        upto = F.call_function("locate", F.lit(end), low, at + len(start))
+        return F.when((at > 0) & (upto > 0), F.concat(F.left(x, at - 1), F.substr(x, upto + len(end)))).otherwise(x)
+
+    low = ascii_lower(c)
+    marks = F.size(F.split(low, rf"\Q{end}\E", -1)) - 1
+    return F.when(F.contains(low, F.lit(start)) & (marks > 0), F.aggregate(F.sequence(F.lit(1), marks), c, step)).otherwise(c)
 
 
 def clean_user_text(c: Column) -> Column:
@@ -53,7 +71,7 @@ def clean_user_text(c: Column) -> Column:
 
 def contains_ci(c: Column, needle: str) -> Column:
     """TXT6 for an ASCII needle."""
-    return F.contains(F.lower(c), F.lit(needle.lower()))
+    return F.contains(ascii_lower(c), F.lit(needle.lower()))
 
 
 def truncate(c: Column, limit: int) -> Column:
@@ -116,11 +134,12 @@ def content_hash(c: Column) -> Column:
 
 
 def normalize_timestamp(c: Column) -> Column:
-    """TXT17: a time with an offset, in UTC; anything else as it is. Fractions keep up to 6 digits."""
-    shape = r"\A\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)\z"
-    at = F.when(c.rlike(shape), F.try_to_timestamp(F.regexp_replace(F.upper(c), r"(\.\d{6})\d+", "$1")))
+    """TXT17: a time with an offset, in UTC; anything else as it is. Fractions keep 9 digits, shown by threes."""
+    shape = r"\A(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d)(?:\.(\d+))?([Zz]|[+-]\d\d:\d\d)\z"
+    at = F.when(c.rlike(shape), F.try_to_timestamp(F.upper(F.regexp_replace(c, shape, "$1T$2$4"))))
     utc = F.to_utc_timestamp(at, F.current_timezone())
-    fraction = F.regexp_replace(F.date_format(utc, "SSSSSS"), r"\A000000\z|(?<=\A\d{3})000\z", "")
+    digits = F.rpad(F.left(F.regexp_extract(c, shape, 3), F.lit(9)), 9, "0")
+    fraction = F.regexp_replace(digits, r"(?:000)+\z", "")
     return F.coalesce(F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("+00:00")), c)
 
 
