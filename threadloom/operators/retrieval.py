@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,44 @@ def dense(vectors: DataFrame, chunks: DataFrame, query: Sequence[float], limit:
     return nearest(nearest(scored, wide).join(own, "chunk_id").select("chunk_id", "distance"), limit)
 
 
+#: Vectors and queries that one task of a batch takes.
+BATCH_VECTORS, BATCH_QUERIES = 32_768, 2048
+
+
+def dense_batch(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """(query_id, vec_id, distance): for each query (vec_id, e) the nearest other vectors (vec_id, e), by exact
+    cosine. Vectors and queries meet in blocks; in each a matrix product leaves few pairs, whose distances
+    are then summed up in order, so that equal vectors tie."""
+    blocks = [max(1, -(-df.count() // most)) for df, most in ((vectors, BATCH_VECTORS), (queries, BATCH_QUERIES))]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = vectors.select("vec_id", "e", own(blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    right = queries.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), own(blocks[1]).alias("qb"), every(blocks[0]).alias("qa"))
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            x, y = (np.array(t.column(c).to_pylist(), float) for t, c in ((left, "e"), (right, "q")))
+            ids, names = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+            summed = lambda a, b: np.cumsum(a * b, axis=1)[:, -1]
+            xx, yy = summed(x, x), summed(y, y)
+            for k in range(0, len(y), 256):
+                rough = 1 - (y[k : k + 256] @ x.T) / np.sqrt(yy[k : k + 256, None] * xx)
+                rough[names[k : k + 256, None] == ids] = np.inf
+                for j, row in enumerate(rough, k):
+                    bound = np.partition(row, min(limit, len(row)) - 1)[min(limit, len(row)) - 1] if len(row) > limit else np.inf
+                    at = np.flatnonzero((row <= bound + 1e-9) & (row < np.inf))
+                    apart = 1 - summed(x[at], y[j : j + 1]) / np.sqrt(xx[at] * yy[j])
+                    best = np.lexsort((ids[at], apart))[:limit]
+                    out += [(int(names[j]), int(i), float(d)) for i, d in zip(ids[at[best]], apart[best], strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "distance"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("qa", "qb")).applyInArrow(tile, "query_id long, vec_id long, distance double")
+    place = W.partitionBy("query_id").orderBy("distance", "vec_id")
+    return pairs.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def query_terms(query: str) -> list[str]:
     """FTS2: terms shorter than a trigram find nothing and are left out."""
     return [t for t in query.lower().split() if len(t) >= TERM_CHARS]

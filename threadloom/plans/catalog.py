@@ -6,6 +6,7 @@ rollback. Folders are reached through Spark's file systems only."""
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -17,6 +18,16 @@ from threadloom.schemas import TABLES
 BUCKETS = 64
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only in local mode is one made where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="threadloom-")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets

@@ -6,13 +6,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions import redact as redaction
 from threadloom.functions import text as T
 from threadloom.functions.redact import redact
 from threadloom.operators import retrieval
@@ -20,6 +20,7 @@ from threadloom.operators.chunks import split_column
 from threadloom.operators.embedding import embed
 from threadloom.operators.turns import turns_of, window_around
 from threadloom.plans import incremental
+from threadloom.plans.catalog import shared_dir
 from threadloom.sources.transcripts import conversation_events, parse_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,9 +126,114 @@ def drop_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.truncate_lines(T.drop_long_logs(F.col("text"))).alias("cleaned"))
 
 
-_SECRET = r'''(?i)(\b(?:[a-z0-9]+[_-])*(?:secret[_-]?access[_-]?key|access[_-]?key[_-]?id|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|api[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|token|secret|password|passwd|pwd)\s*[:=]\s*)(?:(")[^"]*"|(\x27)[^\x27]*\x27|[^\s\x27"`]+)'''
-_ENV = r"""(\b(?:export\s+)?[A-Z][A-Z0-9_]+=)(?:(")[^"]*"|(\x27)[^\x27]*\x27|[^\s\x27"`;$]+)"""
+def _sql_pattern(prefix: str, bare: str) -> str:
+    """A pattern of assignments in DuckDB's dialect, where a quote can't stand in a text."""
+    return f"({prefix})(?:(\")[^\"]*\"|(')[^']*'|{bare})".replace("'", r"\x27")
+
+
+_SECRET = "(?i)" + _sql_pattern(rf"\b(?:[a-z0-9]+[_-])*{redaction.KEY}\s*[:=]\s*", redaction.SECRET_BARE)
+_ENV = _sql_pattern(redaction.ENV_PREFIX, redaction.ENV_BARE)
 REDACTED_SQL = rf"regexp_replace(regexp_replace(text, '{_ENV}', '\1\2\3<redacted>\2\3', 'g'), '{_SECRET}', '\1\2\3<redacted>\2\3', 'g')"
+TOKENS_SQL = REDACTED_SQL.replace("(text,", "(replace(text, '/home/someone', '~'),")
+for _p in redaction.TOKENS:
+    TOKENS_SQL = f"regexp_replace({TOKENS_SQL}, '{_p.replace('(?U)', '').replace('(?iU)', '(?i)')}', '{redaction.PLACEHOLDER}', 'g')"
+_H = "md5(CAST(doc_id AS VARCHAR))"
+#: Lines with one secret each, made of a row's id, in both dialects of SQL.
+SECRET_LINES = (
+    f"concat('key sk-', {_H}, ' end')", f"concat('x ghp_', {_H}, ', y')", f"concat('github_pat_', {_H})", f"concat('(glpat-', {_H}, ')')", f"concat('hf_', {_H}, ' and hf_short')",
+    f"concat('xoxb-', {_H}, '-x')", f"concat('id AKIA', upper(substr({_H}, 1, 16)), ' z AKIA', {_H})", f"concat('AIza', substr(concat({_H}, {_H}), 1, 35), '.')", f"concat('eyJ', {_H}, '.', {_H}, '.', {_H}, ' eyJ.x')",
+    f"concat('Authorization: BEARER ', {_H})", f"concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), {_H}, chr(10), '-----END RSA PRIVATE KEY----- tail')", f"concat('see /home/someone/', {_H})",
+    f"concat(repeat('a_', 80), 'token=', {_H}, ' mytoken=', {_H}, ' a__token=', {_H}, ' x-y_api-key: ', {_H})", f"concat('export Q1=', {_H}, ' PASSWORD = ', {_H}, ' client-secret:', {_H})",
+)
+_LINES_SQL = "CASE doc_id % 14 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(SECRET_LINES)) + " END"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_LINES_SQL} AS text FROM documents) SELECT doc_id, {TOKENS_SQL} AS redacted FROM s")
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RED1-RED15: a secret of every kind, made of the rows' ids."""
+    made = F.expr(_LINES_SQL.replace("VARCHAR", "STRING"))
+    return _table(spark, sf_dir, "documents").select("doc_id", redaction.redact(made, "/home/someone").alias("redacted"))
+
+
+def _short_sql(text: str, limit: int) -> str:
+    flat = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) <= {limit} THEN {flat} ELSE rtrim(substr({flat}, 1, {limit - 1})) || '...' END"
+
+
+@query(f"SELECT doc_id, {_short_sql('text', 200)} AS short, contains(lower(text), 'the ') AS has_word FROM documents")
+def truncate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT4, TXT6, TXT7."""
+    return _table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 200).alias("short"), T.contains_ci(F.col("text"), "The ").alias("has_word"))
+
+
+_REMINDER = "concat('<System-', '<system-reminder>', {0}, '</SYSTEM-reminder>', 'reminder>', {0}, '</system-reminder>', text, '<system-reminder> open')"
+
+
+@query(f"SELECT doc_id, {_CLEAN.format("concat(text, '<system-reminder> open')")} AS cleaned FROM documents")
+def clean_user_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT2, TXT5: a reminder that the removal of another one forms, and one that is never closed."""
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_user_text(F.expr(_REMINDER.format("md5(CAST(doc_id AS STRING))"))).alias("cleaned"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, lpad(CAST(doc_id % 1000000000 AS VARCHAR), 9, '0') AS digits FROM documents),
+t AS (SELECT *, make_timestamp(2024, 3, CAST(1 + doc_id % 28 AS BIGINT), CAST(doc_id % 24 AS BIGINT), 30, 15.0) AS stamp, regexp_replace(digits, '(000)+$', '') AS shown FROM f)
+SELECT doc_id, strftime(stamp - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%S') || CASE WHEN shown = '' THEN '' ELSE '.' || shown END || '+00:00' AS utc FROM t"""
+)
+def normalize_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT17: offsets and fractions of nine digits."""
+    part = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    i = F.col("doc_id")
+    at = F.concat(F.lit("2024-03-"), part(1 + i % 28, 2), F.lit("T"), part(i % 24, 2), F.lit(":30:15."), part(i % 1_000_000_000, 9), F.lit("+02:30"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.normalize_timestamp(at).alias("utc"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, substr(text, 1, 2000) AS x FROM documents), q AS (SELECT *, CASE WHEN length(x) > 1200 OR len(string_split(regexp_replace(x, '\n$', ''), chr(10))) > 40 THEN '[long output omitted]' ELSE x END AS y FROM p WHERE NOT contains(x, '```'))
+SELECT doc_id, concat('a ```', y, '``` b ```', x) AS cleaned FROM q"""
+)
+def clean_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT9: a long block between fences, and one that is never closed."""
+    x = F.left("text", F.lit(2000))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).where(~F.contains("x", F.lit("```")))
+    return rows.select("doc_id", T.clean_fences(F.concat(F.lit("a ```"), "x", F.lit("``` b ```"), "x")).alias("cleaned"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, '. ', repeat(chr(10) || ' ', 5)), '(?m)^[ \t]+$', '', 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS cleaned FROM documents WHERE NOT contains(text, chr(13))")
+def collapse_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT12."""
+    rows = _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    return rows.select("doc_id", T.collapse_blank_lines(F.replace("text", F.lit(". "), F.lit("\n " * 5))).alias("cleaned"))
+
+
+_TOOL_TEXT = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH u AS (SELECT conv_id, turn, {_short_sql("coalesce(text, '')", 160)} AS command, {_short_sql("coalesce(text, '')", 80)} AS value, {_short_sql(f"split_part({_CLEAN.format("coalesce(text, '')")}, chr(10), 1)", 120)} AS first FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS session_id,
+  ['Bash' || CASE WHEN command = '' THEN '' ELSE ': ' || command END, 'Read: /srv/' || CAST(turn AS VARCHAR), 'Grep: ' || CAST(conv_id AS VARCHAR) || ', src', 'TodoWrite: 2 todos', 'Fetch: a=true, n=' || CAST(turn AS VARCHAR) || CASE WHEN value = '' THEN ', z=' ELSE ', z=' || value END, 'Tool result' || CASE WHEN first = '' THEN '' ELSE ': ' || first END] AS tools FROM u"""
+)
+def tool_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAR5-PAR8: tool calls and a result in one turn for every row, as JSON lines."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    use = lambda name, given: F.struct(F.lit("tool_use").alias("type"), F.lit(name).alias("name"), F.struct(*given).alias("input"))
+    calls = [
+        use("Bash", [F.col("text").alias("command")]),
+        use("Read", [F.concat(F.lit("/srv/"), F.col("turn").cast("string")).alias("file_path")]),
+        use("Grep", [F.col("conv_id").cast("string").alias("pattern"), F.lit("src").alias("path")]),
+        use("TodoWrite", [F.array(F.lit(1), F.lit(2)).alias("todos")]),
+        use("Fetch", [F.col("text").alias("z"), F.col("turn").alias("n"), F.lit(True).alias("a")]),
+    ]
+    said = lambda role, content: F.concat(F.lit(f'{{"type":"{role}","message":{{"role":"{role}","content":'), content, F.lit("}}"))
+    events = F.array(
+        said("user", F.lit('"q"')),
+        said("assistant", F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(c) for c in calls]), F.lit("]"))),
+        said("user", F.concat(F.lit("["), F.to_json(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content"))), F.lit("]"))),
+    )
+    lines = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("session_id"), F.posexplode(events).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return turns_of(parse_lines(lines)).select("session_id", F.col("tool_summary").alias("tools"))
+
 
 
 @query(f"SELECT doc_id, {REDACTED_SQL} AS redacted FROM documents")
@@ -385,28 +491,21 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KNN1 for many queries at once, O9: every hundredth vector against all, in blocks."""
     v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-    add = lambda a, b: a + b
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), add)
-    apart = 1 - dot(F.col("e"), F.col("qe")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("qe"), F.col("qe")))
-    blocks = max(1, -(-q.count() // 4096))  # queries in blocks of bounded size, every vector to each block
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = v.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", apart.alias("distance"))
-    return pairs.withColumn("_rank", F.expr("row_number() over (partition by query_id order by distance, vec_id)")).where("_rank <= 10").select("query_id", "vec_id", F.round("distance", 9).alias("distance"))
+    pairs = retrieval.dense_batch(v.where("vec_id % 100 = 0"), v, LIMIT)
+    return pairs.select("query_id", "vec_id", F.round("distance", 9).alias("distance"))
 
 
 @query(f"WITH {TURNS_SQL} SELECT session_id, CAST(count(*) AS BIGINT) AS n_turns FROM turns GROUP BY session_id")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1-STR3: conversations read as a stream into turns by micro-batches, in one pass."""
+    """STR3: rows taken by a stream in micro-batches; a conversation may come in several, its turns are those of all."""
     source = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(source).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:10]}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:10]}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
 
-    def batch(rows: DataFrame, number: int) -> None:
-        turns_of(conversation_events(rows)).groupBy("session_id").agg(F.count("*").alias("n_turns")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+    def batch(rows: DataFrame, number: int) -> None:  # a batch that is done again writes the same folder again
+        rows.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("session_id", "n_turns")
+    turns = turns_of(conversation_events(spark.read.schema(schema).parquet(f"{at}/out")))
+    return turns.groupBy("session_id").agg(F.count("*").alias("n_turns"))
