@@ -69,6 +69,20 @@ def config_from(values: dict[str, Any]) -> Config:
     return dataclasses.replace(config, **paths)
 
 
+#: Names of the settings files: of a user, and of a project in its own folder.
+USER_FILE, PROJECT_FILE = "~/.config/threadloom/config.toml", ".threadloom.toml"
+
+
+def project_file(folder: str | None = None) -> str:
+    """CFG3: the settings file of a project folder, by default the current one."""
+    return str((Path(folder) if folder else Path.cwd()) / PROJECT_FILE)
+
+
+def config_of(folder: str | None = None) -> Config:
+    """The user's settings, overlaid by those of the project."""
+    return load_config(USER_FILE, project_file(folder))
+
+
 def load_config(*files: str) -> Config:
     """Files in the order in which they overlay; one that is missing adds nothing."""
     values: dict[str, Any] = {}

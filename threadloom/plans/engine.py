@@ -28,6 +28,17 @@ class NotFoundError(LookupError):
     """No such session."""
 
 
+class ArgumentError(ValueError):
+    """An argument that can't be meant (API17): blank queries and negative numbers."""
+
+
+def clamped(name: str, value: int, most: int) -> int:
+    """FLT12: a number of at most ``most``."""
+    if value < 0:
+        raise ArgumentError(f"{name} must not be negative: {value}")
+    return min(value, most)
+
+
 class IndexStats(NamedTuple):
     indexed: int
     skipped: int
@@ -89,6 +100,7 @@ class Engine:
             },
             touched,
             {"chunks": next_chunk, "turns": next_turn},
+            manifest,
         )
         return IndexStats(wanted - len(failures), total - wanted, len(failures), failures)
 
@@ -109,9 +121,11 @@ class Engine:
         return [float(x) for x in self._provider.embed_texts([query])[0]]
 
     def search(self, query: str, limit: int = SEARCH[0], project: str | None = None, exact_scope: bool = False) -> DataFrame:
+        if not query.strip():
+            raise ArgumentError("query must not be blank")
         chunks = self.catalog.read("chunks")
         told = chunks.select("chunk_id", "project_path", F.col("text_for_embedding").alias("text"))
-        found = retrieval.hybrid(told, chunks.select("chunk_id", "embedding"), query, self.embed_query(query), min(limit, SEARCH[1]), project, exact_scope)
+        found = retrieval.hybrid(told, chunks.select("chunk_id", "embedding"), query, self.embed_query(query), clamped("limit", limit, SEARCH[1]), project, exact_scope)
         hits = chunks.drop("embedding", "text_for_embedding").join(F.broadcast(found.drop("text", "project_path")), "chunk_id")
         return hits.orderBy(F.desc("score"), "best_rank", "chunk_id")
 
@@ -126,29 +140,31 @@ class Engine:
         return self._redacted_turns(turns).orderBy("turn_index")
 
     def expand(self, session_id: str, line_start: int, context: int = CONTEXT[0]) -> DataFrame:
-        return window_around(self.read_session(session_id), line_start, min(context, CONTEXT[1])).orderBy("turn_index")
+        return window_around(self.read_session(session_id), line_start, clamped("context", context, CONTEXT[1])).orderBy("turn_index")
 
     def list_sessions(self, project: str | None = None, limit: int = LIST[0]) -> DataFrame:
         sessions = self.catalog.read("sessions")
         own = sessions if project is None else sessions.where(F.col("project_path") == project)
-        return own.orderBy(F.desc("indexed_at"), "session_id").limit(min(limit, LIST[1]))
+        return own.orderBy(F.desc("indexed_at"), "session_id").limit(clamped("limit", limit, LIST[1]))
 
     def stats(self) -> dict[str, int]:
         return {"sessions": self.catalog.read("sessions").count(), "chunks": self.catalog.read("chunks").count(), "bytes": self.catalog.size()}
 
     def migrate_project(self, old: str, new: str) -> dict[str, int]:
         """Renames a project in sessions and chunks, and says how many rows had it."""
-        tables = {t: self.catalog.read(t) for t in ("sessions", "chunks")}
+        manifest = self.catalog.manifest()
+        tables = {t: self.catalog.read(t, manifest) for t in ("sessions", "chunks")}
         own = {t: df.where(F.col("project_path") == old) for t, df in tables.items()}
         counts = {t: df.count() for t, df in own.items()}
         if any(counts.values()):
             touched = self.catalog.touched(own["sessions"].select("session_id").union(own["chunks"].select("session_id")))
-            self.catalog.commit({t: incremental.renamed(self.catalog.read(t, buckets=touched), old, new) for t in tables}, touched)
+            self.catalog.commit({t: incremental.renamed(self.catalog.read(t, manifest, touched), old, new) for t in tables}, touched, base=manifest)
         return counts
 
     def reredact(self) -> tuple[int, int]:
         """Applies the present rules to what is stored; vectors stay. Gives changed turns and chunks."""
-        turns, chunks = self.catalog.read("turns"), self.catalog.read("chunks")
+        manifest = self.catalog.manifest()
+        turns, chunks = self.catalog.read("turns", manifest), self.catalog.read("chunks", manifest)
         new_turns = self._redacted_turns(turns)
         text = redact(F.col("text"), self.home)
         new_chunks = chunks.withColumns({"text": text, "title": redact(F.col("title"), self.home), "text_for_embedding": redact(F.col("text_for_embedding"), self.home)})
@@ -157,7 +173,7 @@ class Engine:
         counts = tuple(x.count() for x in changed)
         if any(counts):
             touched = self.catalog.touched(changed[0].union(changed[1]))
-            self.catalog.commit({"turns": self._redacted_turns(self.catalog.read("turns", buckets=touched)), "chunks": new_chunks.where(self.catalog.bucket().isin(touched))}, touched)
+            self.catalog.commit({"turns": self._redacted_turns(self.catalog.read("turns", manifest, touched)), "chunks": new_chunks.where(self.catalog.bucket().isin(touched))}, touched, base=manifest)
         return counts
 
     @staticmethod
