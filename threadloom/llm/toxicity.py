@@ -66,8 +66,8 @@ def expanded(text: str) -> str:
 
 #: Lengths of the beginnings of words that may be landmarks; texts are scored whole whatever these are.
 STEMS = (*range(LENGTH, 11), 12, 16, 24, 32)
-#: Places in the table of the terms' hashes.
-TABLE = 1 << 21
+#: Bits of the hashes of terms at most.
+TABLE_BITS = 21
 #: Marks next to a word; they count as blanks.
 EDGES = ".,;:!?\"'()*$&%#|"
 _BLANKS = (9, 10, 11, 12, 13, 32)
@@ -162,16 +162,20 @@ class Kernel:
                 own[k] = own.get(k, 0.0) + v / size
         names = sorted(terms)
         rows = [sorted(terms[u].items()) for u in names]
-        c = np.array(names, np.int64).reshape(-1, LENGTH)
-        # a term's number from its two pairs of classes; and a table of the hashes of terms, which leaves few places to look up
-        pairs = c[:, 0] * self.base + c[:, 1], c[:, 2] * self.base + c[:, 3]
-        self.begins, self.ends = (np.unique(x) for x in pairs)
-        code = np.searchsorted(self.begins, pairs[0]) * len(self.ends) + np.searchsorted(self.ends, pairs[1])
-        self.order = np.argsort(code)
-        self.codes = code[self.order]
-        self.hashes = [(mixed(np.arange(self.base, dtype=np.uint64) + np.uint64(7000 * k + 1)) & np.uint64(TABLE - 1)).astype(np.int32) for k in range(LENGTH)]
-        self.table = np.zeros(TABLE, bool)
-        self.table[self.hashes[0][c[:, 0]] ^ self.hashes[1][c[:, 1]] ^ self.hashes[2][c[:, 2]] ^ self.hashes[3][c[:, 3]]] = True
+        self.terms = np.array(names, np.int32).reshape(-1, LENGTH)
+        # a table of the terms' hashes leaves few places to look at; there the term is compared class by class
+        bits = int(np.clip(np.ceil(np.log2(max(1, 200 * len(names)))), 16, TABLE_BITS))
+        self.hashes = [(mixed(np.arange(self.base, dtype=np.uint64) + np.uint64(7000 * k + 1)) >> np.uint64(64 - bits)).astype(np.int32) for k in range(LENGTH)]
+        slot = self.hashes[0][self.terms[:, 0]] ^ self.hashes[1][self.terms[:, 1]] ^ self.hashes[2][self.terms[:, 2]] ^ self.hashes[3][self.terms[:, 3]]
+        self.table, self.layers = np.zeros(1 << bits, bool), []
+        self.table[slot] = True
+        left = np.arange(len(slot))
+        while len(left):  # terms of one slot go to further layers
+            own, first = np.unique(slot[left], return_index=True)
+            layer = np.full(1 << bits, -1, np.int32)
+            layer[own] = left[first]
+            self.layers.append(layer)
+            left = np.delete(left, first)
         self.first = np.cumsum([0, *map(len, rows)])
         self.landmark = np.array([k for r in rows for k, _ in r], np.int64)
         self.weight = np.array([v for r in rows for _, v in r])
@@ -187,13 +191,17 @@ class Kernel:
             out[high] = np.where(self.letters[at] == points[high], at + 1, 0)
         return out
 
-    def _terms(self, c: np.ndarray, at: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
+    def _terms(self, c: np.ndarray, at: np.ndarray, slot: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
         """Numbers of the terms at places, -1 where there is none."""
-        first, second = c[at + pattern[0]] * np.int64(self.base) + c[at + pattern[1]], c[at + pattern[2]] * np.int64(self.base) + c[at + pattern[3]]
-        x, y = (np.minimum(np.searchsorted(known, v), len(known) - 1) for known, v in ((self.begins, first), (self.ends, second)))
-        code = x * len(self.ends) + y
-        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.begins[x] == first) & (self.ends[y] == second) & (self.codes[k] == code), self.order[k], -1)
+        seen = [c[at + p] for p in pattern]
+        out = np.full(len(at), -1, np.int32)
+        for layer in self.layers:
+            t = layer[slot]
+            fits = t >= 0
+            for k in range(LENGTH):
+                fits &= self.terms[t, k] == seen[k]
+            out[fits] = t[fits]
+        return out
 
     def windows(self, texts: list[str]) -> Values:
         """The windows with a value of ``LEAST`` at least."""
@@ -233,8 +241,9 @@ class Kernel:
         two = {g: h[0][:n] ^ h[1][g : g + n] for g in range(1, SPAN - 2)}
         last = {(a, b): h[2][a : a + n] ^ h[3][b : b + n] for a in range(2, SPAN - 1) for b in range(a + 1, SPAN)}
         for p in _PATTERNS:
-            hit = np.flatnonzero(self.table[two[p[1]] ^ last[p[2], p[3]]])
-            t = self._terms(c, hit, p) if len(hit) else hit
+            slot = two[p[1]] ^ last[p[2], p[3]]
+            hit = np.flatnonzero(self.table[slot])
+            t = self._terms(c, hit, slot[hit], p)
             hit, t = hit[t >= 0], t[t >= 0]
             at.append(hit)
             width.append(np.full(len(hit), p[-1]))
