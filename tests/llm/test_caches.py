@@ -5,7 +5,8 @@ from threadloom.llm import common, packing, quality
 
 def test_caches_are_bounded_by_bytes(monkeypatch):
     """A cache that is filled past its bound starts anew, and what it gives stays right."""
-    monkeypatch.setattr(common.WordCache, "most", 1 << 20)
+    for kind in (common.WordCache, packing.WordIds):
+        monkeypatch.setattr(kind, "most", 1 << 20)
     words = [f"word{k}" for k in range(30_000)]
     text = " ".join(words).encode()
     ids, features = packing.word_ids("word_bpe_49k.json"), quality.Features()

@@ -11,6 +11,7 @@ numbered inside each salt, so that a length that a third of all pieces share is
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from threadloom.llm.common import WordCache, worker_state, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The longest word in bytes that is kept with its ids in a Python worker.
 CACHED_BYTES = 64
+#: What an entry takes besides its bytes: two objects' heads, and its share of a table that is half full.
+ENTRY_BYTES = 170
 _ENDS = b".,;:!?)"
 
 
@@ -40,6 +43,8 @@ class WordIds(WordCache):
     so a text's ids are those of its words in turn. A word's ids are those of its letters followed by
     those of its last punctuation mark, since the vocabulary's rule parts letters from marks."""
 
+    most = 64 << 20
+
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
@@ -49,19 +54,24 @@ class WordIds(WordCache):
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in _ENDS and word[-2:-1].isalpha() and b"<" not in word:
+        if word.isalpha():  # ASCII letters go straight to the model, as do others that no normal form changes
+            ids = array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
+        elif word[-1] in _ENDS and word[-2:-1].isalpha() and b"<" not in word:
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "replace")
-            if text.isalpha() and max(text) < "\u0130":  # letters that no normal form changes: straight to the model
-                text = text.lower()
-                if not text.isascii():
-                    text = "".join(map(self.letters.__getitem__, text.encode()))
-                found = [t.id for t in self.model.tokenize(text)]
+            if text.isalpha() and max(text) < "\u0130":
+                found = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text.lower().encode())))]
             else:
                 found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.asarray(found, "<u4").tobytes()
-        return self.keep(word, ids) if len(word) <= CACHED_BYTES else ids
+            ids = array("I", found).tobytes()
+        if len(word) <= CACHED_BYTES:
+            self.bytes += len(word) + len(ids) + ENTRY_BYTES
+            if self.bytes > self.most:
+                self.clear()
+                self.bytes = 0
+            self[word] = ids
+        return ids
 
     def of(self, text: bytes | None) -> bytes:
         if not text:
