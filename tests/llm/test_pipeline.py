@@ -1,11 +1,14 @@
 import hashlib
 import importlib
+import re
 import subprocess
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,15 +83,105 @@ def test_stages(spark):
     assert sum(r.length for r in after) == sum(len(words.of((r.text or "").encode())) // 4 + 1 for r in before)
 
 
-def test_run_is_its_stages(spark):
-    assert corpus_pipeline.run(spark, SF).columns[:6] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id"]
+def plain_pipeline(spark, docs):
+    """Rows of run() for (doc_id, text, source) without nulls, step by step on the driver."""
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    scorer = toxicity.Scorer(model)
+    docs = [d for d in docs if scorer.scores([d[1]])[0] < 0.5]
+    sets = {}
+    for i, text, _ in docs:
+        words = "".join(c.lower() if c.isascii() else c for c in text).encode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for own in holders.values() for k, a in enumerate(own) for b in own[k + 1 :])
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    docs = sorted(d for d in docs if root(d[0]) == d[0])
+    seen, cut = set(), []
+    for i, text, source in docs:
+        b = text.encode()
+        windows = [b[k : k + 50] for k in range(len(b) - 49)]
+        covered = {x for k, w in enumerate(windows) if w in seen for x in range(k, k + 50)}
+        seen.update(windows)
+        cut.append((i, bytes(c for k, c in enumerate(b) if k not in covered).decode("utf-8", "ignore"), source))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    size = Counter()
+    for _, text, source in cut:
+        size[source] += len(words(text))
+    weights, open_, target, rest = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}, set(size), {}, 1.5 * sum(size.values())
+    while open_:  # full sources give their excess to the others
+        level = rest / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] > 2.0 * size[s]}
+        for s in full or open_:
+            target[s] = 2.0 * size[s] if full else level * weights[s]
+            rest -= target[s]
+        open_ -= full or open_
+    mixed = []
+    for source in size:
+        left = int(target[source] + 1e-9)
+        own = sorted((d for d in cut if d[2] == source), key=lambda d: hashlib.md5(f"mix{d[0]}".encode()).hexdigest())
+        while left and size[source]:
+            for i, text, _ in own:
+                n = len(words(text))
+                if left and n:
+                    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                    mixed.append((i, text if n <= left else text[: ends[left - 1]]))
+                    left -= min(n, left)
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    pieces = []
+    for i, text in mixed:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        pieces += [(i, k // 2048, k, len(part := ids[k : k + 2048]), zlib.crc32(np.array(part, "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    bins = []
+    for n in sorted((p[3] for p in pieces), reverse=True):
+        fits = [k for k, room in enumerate(bins) if room >= n]
+        if fits:
+            bins[min(fits, key=lambda k: bins[k])] -= n
+        else:
+            bins.append(2048 - n)
+    return Counter(pieces), len(bins)
+
+
+def test_run_by_brute_force(spark):
+    """run()'s pieces are those of a plain version of all stages, in as few sequences, without gaps."""
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None and r.source is not None]
+    assert len(docs) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    pieces, bins = plain_pipeline(spark, docs)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == pieces
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(sequences) == bins
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
 
 
 def test_stages_take_edge_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words in this text here", "en", "a", 1), (3, "same words in this text here", "en", "a", 1), (4, "z" * 200_000, "en", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for wide in (docs.withColumn("extra", F.lit(1)), docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             assert len(stage(spark, wide, SF).collect()) <= 2 * len(rows) + 100, name
 
 

@@ -1,7 +1,9 @@
 """The operators as stages over documents: each takes (spark, docs, sf_dir) and returns documents, the
 last one sequences. Null texts count as empty, empty tables give empty tables. Rows with a null id go
 through all stages: they are judged by their text, are in no group of near duplicates, lose no bytes to
-other documents, and are taken and packed like others."""
+other documents, and are taken and packed like others. Rows that repeat an id count each by its own text,
+but for the second stage, which keeps one of equal rows. Columns besides those of documents are dropped,
+whatever their names. Very long texts are read whole."""
 
 from __future__ import annotations
 
@@ -24,7 +26,8 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5; the rest go."""
+    """Documents with a toxicity score under 0.5; the rest go. Repeated rows have one score, so all or none of
+    them stay; null and empty texts stay as long as a text without any suspicious word does."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +63,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it; the last one that a budget reaches is cut
-    after so many words, which are then joined by single spaces."""
+    after so many words and is a prefix of its text. Texts without words are taken no times; repeated rows are
+    taken each for itself, also those with equal keys, whose order is that of their texts."""
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     plan = mixing.mix(docs, with_source=True).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
     plan = plan.withColumn("_nth", F.expr("row_number() over (partition by _id, _source, _size order by taken desc)"))
@@ -69,11 +73,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.when(rest > 0, whole + 1).otherwise(whole).cast("int")
     out = taken.withColumn("rest", rest).withColumn("whole", whole).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("rest").cast("int")), " ")
+    # the place where the first word that isn't taken begins
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    part = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.col("rest").cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
     text = F.when(F.col("copy") > F.col("whole"), part).otherwise(F.col("text"))
     return out.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset."""
+    """Token pieces of all documents with their sequence and offset; a null or empty text is one end mark, and
+    repeated rows have places of their own."""
     return packing.pack(docs)
