@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 
 from threadloom.llm import embedding_dedup, graph, jaccard, shingles, suffix_dedup, topk
 from threadloom.llm.shingles import Shingler
@@ -222,6 +223,38 @@ def test_hot_passages_are_dealt_out(spark, monkeypatch):
     assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in brute_cut(rows).items()}
 
 
+def test_suffix_rows_are_packed(spark, monkeypatch):
+    """Documents that share passages with many others: a row for each pair of bucket and home, and of home and
+    group, at most, not one for each document and part."""
+    rng = random.Random(3)
+    passage = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(2000)]
+    rows = [(k, "".join(rng.choice(passage) for _ in range(40))) for k in range(300)]
+    counts, apply, write = {}, GroupedData.applyInArrow, suffix_dedup.written
+
+    def applied(self, func, schema):
+        if schema == suffix_dedup.MARKED:
+            counts["strings"] = self._df.count()
+        return apply(self, func, schema)
+
+    def kept(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", applied)
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicate(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {i: x[0][1] for i, x in brute_cut(rows).items()} == got
+    assert 0 < counts["spans"] <= 8 * 32
+    assert 0 < counts["strings"] <= 32 * 32
+    assert 0 < counts["marks"] <= 32 * 32
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, width int")
 

@@ -12,6 +12,9 @@ strings go into one index; what is a repeat is decided by matching statistics on
    windows go into an index of their own.
 4. Marks meet the texts again, which are cut.
 
+Documents go to homes and indexes to groups by hashes, one packed row for each pair of both: homes and
+groups hold a fixed number of bytes, so a row holds less the larger the input is, but never a single span.
+
 Of whole texts that are equal (by SHA-256) only the smallest document's goes this way: all bytes of the
 others are covered by its strings.
 """
@@ -23,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, mark, marked, rows_marked, spent, spread_join, written
+from threadloom.llm.common import MARKS as BITS
+from threadloom.llm.common import batches, rows_marked, spent, spread_join, written
 from threadloom.llm.shingles import mixed, powers
 
 WIDTH, GRAM = 50, 20
@@ -102,18 +107,26 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], np.ndar
 
 
 ENTRY = np.dtype([("anchor", "<u4"), ("where", "<u2"), ("first", "<u4")])
-SPAN = np.dtype([("anchor", "<u8"), ("first", "<u4"), ("more", "<u4")])
+#: A span whose anchor others have: its document among the row's, the cell of its anchor, whether it goes on by windows.
+SPAN = np.dtype([("doc", "<u4"), ("cell", "<u4"), ("first", "<u4"), ("more", "u1"), ("crowded", "?")])
 WINDOW = np.dtype([("doc", "<u4"), ("at", "<u4"), ("bytes", f"V{WIDTH}")])
-#: What a row of ``meet`` holds: marks; spans for an index by anchors; spans, and windows, for an index by windows.
-MARKS, INDEX, WINDOWS, CUT_WINDOWS = 0, 1, 2, 3
+#: A covered run of bytes: its document among the row's.
+MARK = np.dtype([("doc", "<u4"), ("from", "<u4"), ("to", "<u4")])
+#: What a row of ``meet`` holds: marks, and open spans, of a home's documents; windows of a document.
+MARKS, OPEN, CUT_WINDOWS = 0, 1, 2
 #: Sections of a batch: spans by their anchor, marks, windows, anchors that are crowded in the batch.
 _SPANS, _MARKS, _WINDOWS, _CROWDED = 0, 1, 2, 3
-FOUND = "doc_id long, text_hash long, kind int, spans binary"
+FOUND = "doc_id long, text_hash long, kind int, home int, spans binary, ids binary, names binary"
+
+
+def home_of(ids: np.ndarray, names: np.ndarray, homes: int) -> np.ndarray:
+    """Where documents meet their open spans again."""
+    return (mixed(ids.view(np.uint64) ^ mixed(names.view(np.uint64))) % np.uint64(homes)).astype(np.int64)
 
 
-def meet(docs: DataFrame, buckets: int) -> DataFrame:
-    """What has to be looked up in the indexes, by document and kind, and what batches found on their own:
-    (doc_id, text_hash, kind, spans)."""
+def meet(docs: DataFrame, buckets: int, homes: int, cells: int) -> DataFrame:
+    """Spans that have to be looked up in the indexes, and marks that batches found on their own, packed by home;
+    windows that batches leave, by document."""
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, BATCH, sized=1):
@@ -155,10 +168,10 @@ def meet(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = ((anchor[rest] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             entry = np.empty(len(rest), ENTRY)
             entry["anchor"], entry["where"], entry["first"] = anchor[rest] & np.uint64(0xFFFFFFFF), text[rest] << 6 | more[rest], lo[rest]
-            for k, part in _by(bucket, entry):
-                used, place = np.unique(part["where"] >> 6, return_inverse=True)
+            for k, order, used, place in _dealt(bucket, text[rest]):
+                part = entry[order]
                 part["where"] = place << 6 | part["where"] & 63
-                out.append((int(k), _SPANS, part.tobytes(), ids[used].tobytes(), names[used].tobytes()))
+                out.append((k, _SPANS, part.tobytes(), ids[used].tobytes(), names[used].tobytes()))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "section", "packed", "ids", "names"])
 
@@ -167,13 +180,16 @@ def meet(docs: DataFrame, buckets: int) -> DataFrame:
         parts, ids, names, base = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         told = [np.empty(0, np.uint64)]
         out: list[tuple] = []
+        marks: list[tuple] = []
         for section, x, i, n in zip(t.column("section").to_pylist(), t.column("packed"), t.column("ids"), t.column("names"), strict=True):
             x = x.as_py()
             i, n = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
             if section == _CROWDED:
                 told.append(np.frombuffer(x, np.uint64))
-            elif section != _SPANS:
-                out.append((int(i[0]), int(n[0]), MARKS if section == _MARKS else CUT_WINDOWS, x))
+            elif section == _MARKS:
+                marks.append((i, n, x))
+            elif section == _WINDOWS:
+                out.append((int(i[0]), int(n[0]), CUT_WINDOWS, None, x, None, None))
             else:
                 own = np.frombuffer(x, ENTRY)
                 parts.append((own["anchor"].astype(np.uint64) | np.uint64(bucket) << np.uint64(32), own["first"], own["where"] & 63, base + (own["where"] >> 6).astype(np.int64)))
@@ -197,17 +213,22 @@ def meet(docs: DataFrame, buckets: int) -> DataFrame:
             group = np.cumsum(new) - 1
             holders = np.bincount(group, other)
             crowded = np.isin(anchor[by[new]], told) | (np.bincount(group) > MANY)
-            kind = np.where(crowded, WINDOWS, np.where(holders > 1, INDEX, -1))[group]
-            at, kind = by[kind >= 0], kind[kind >= 0]
+            asked = (crowded | (holders > 1))[group]
+            at, crowded = by[asked], crowded[group[asked]]
             span = np.empty(len(at), SPAN)
-            span["anchor"], span["first"], span["more"] = anchor[at], first[at], more[at]
-            by = np.lexsort((kind, doc[at]))
-            at, span, kind = at[by], span[by], kind[by]
-            d = doc[at]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (kind[1:] != kind[:-1])])) if len(at) else np.empty(0, np.int64)
-            out += [(i, n, k, s.tobytes()) for i, n, k, s in zip(ids[d[cut]].tolist(), names[d[cut]].tolist(), kind[cut].tolist(), np.split(span, cut[1:]) if len(cut) else [], strict=True)]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table({c: pa.array(v, p) for c, v, p in zip(("doc_id", "text_hash", "kind", "spans"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+            span["cell"], span["first"], span["more"], span["crowded"] = mixed(anchor[at]) % np.uint64(cells), first[at], more[at], crowded
+            for home, order, used, place in _dealt(home_of(ids, names, homes)[doc[at]], doc[at]):
+                part = span[order]
+                part["doc"] = place
+                out.append((None, None, OPEN, home, part.tobytes(), ids[used].tobytes(), names[used].tobytes()))
+        if marks:
+            ids, names = (np.concatenate(c) for c in list(zip(*marks, strict=True))[:2])
+            pairs = [np.frombuffer(x, "<u4").reshape(-1, 2) for _, _, x in marks]
+            doc = np.repeat(np.arange(len(ids)), list(map(len, pairs)))
+            out += [(None, None, MARKS, *row) for row in packed_marks(doc, np.concatenate(pairs), ids, names, homes)]
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(v, p) for c, v, p in zip(("doc_id", "text_hash", "kind", "home", "spans", "ids", "names"), columns, types, strict=True)})
 
     return docs.mapInArrow(split, "bucket int, section int, packed binary, ids binary, names binary").groupBy("bucket").applyInArrow(gather, FOUND)
 
@@ -220,11 +241,29 @@ def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(key[cut].tolist(), np.split(value, cut[1:]) if len(cut) else [], strict=True)
 
 
+def _dealt(key: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of each key by document: (key, rows, its documents, each row's place among these)."""
+    both = key.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64)
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    other = np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]
+    number, used = np.cumsum(other) - 1, doc[order[other]]
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]).tolist()
+    for x, y in zip(cut, [*cut[1:], len(key)], strict=False):
+        yield int(key[x]), order[x:y], used[number[x] : number[y - 1] + 1], number[x:y] - number[x]
+
+
 def _intervals(starts: np.ndarray) -> np.ndarray:
     """Byte intervals (start, end) as 32-bit pairs that windows cover."""
+    return _runs(starts).astype("<u4")
+
+
+def _runs(starts: np.ndarray) -> np.ndarray:
+    """(start, end) of every run of bytes that windows cover."""
     starts = np.sort(starts)
     run = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + WIDTH]))
-    return np.stack([starts[run], starts[np.append(run[1:], len(starts)) - 1] + WIDTH], 1).astype("<u4")
+    return np.stack([starts[run], starts[np.append(run[1:], len(starts)) - 1] + WIDTH], 1)
 
 
 def _windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -368,57 +407,96 @@ def marked_by_index(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     return who[hit], at[index[hit]], who[~hit], at[index[~hit]]
 
 
-MARKED = "doc_id long, text_hash long, spans binary"
+MARKED = "home int, spans binary, ids binary, names binary"
 CELL = "part int, settled boolean, heads binary, bytes binary, ids binary, names binary"
-#: A string of a cell: its document among the cell's, its place in there, its length.
-HEAD = np.dtype([("doc", "<u4"), ("first", "<u4"), ("size", "<u4")])
-
-
-def texts_of(docs: DataFrame, own: DataFrame, marks: np.ndarray) -> DataFrame:
-    """``own`` with its texts; texts that no mark asks for aren't shuffled."""
+#: A string of a group: its document among the row's, its place in there, its length (of a span, at most WIDTH + SPREAD - 1), its cell in the group.
+HEAD = np.dtype([("doc", "<u4"), ("first", "<u4"), ("size", "u1"), ("cell", "u1")])
+#: Bytes of crowded spans that are looked up in an index of their own.
+_OWN = 1 << 20
+def packed_marks(doc: np.ndarray, pairs: np.ndarray, ids: np.ndarray, names: np.ndarray, homes: int) -> list[tuple]:
+    """Byte intervals of documents, packed by home."""
+    out = []
+    for home, order, used, place in _dealt(home_of(ids, names, homes)[doc], doc):
+        mark = np.empty(len(order), MARK)
+        mark["doc"], mark["from"], mark["to"] = place, pairs[order, 0], pairs[order, 1]
+        out.append((home, mark.tobytes(), ids[used].tobytes(), names[used].tobytes()))
+    return out
+
+
+def texts_at_home(docs: DataFrame, asked: DataFrame, homes: int) -> DataFrame:
+    """Texts with their homes; those that no packed row names aren't shuffled."""
+    bits = bits_of(asked)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = rows_marked(b.column(3), marks)
-            if len(rows):
-                for k in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([b.column(j).take(pa.array(rows[k : k + 1000])) for j in range(3)], ["doc_id", "text", "text_hash"])
+            rows = rows_marked(pc.bit_wise_and(b.column(2), BITS - 1), bits)
+            for k in range(0, len(rows), 1000):
+                own = b.take(pa.array(rows[k : k + 1000]))
+                home = home_of(own.column(0).to_numpy(), own.column(2).to_numpy(), homes)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), *own.columns], ["home", "doc_id", "text", "text_hash"])
 
-    left = docs.select("doc_id", "text", "text_hash", mark(F.col("text_hash")).alias("bit")).mapInArrow(run, "doc_id long, text binary, text_hash long")
-    return left.join(own, ["doc_id", "text_hash"])
+    return docs.where("doc_id is not null").select("doc_id", "text", "text_hash").mapInArrow(run, "home int, doc_id long, text binary, text_hash long")
 
 
-def marks_table(ids: np.ndarray, names: np.ndarray, start: np.ndarray) -> pa.Table:
-    """Window starts as intervals by document."""
-    order = np.lexsort((start, names, ids))
-    ids, names, start = ids[order], names[order], start[order]
-    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]) if len(ids) else np.empty(0, bool)
-    run = np.flatnonzero(other | np.concatenate([[True], start[1:] > start[:-1] + WIDTH])) if len(ids) else np.empty(0, np.int64)
-    pairs = np.stack([start[run], start[np.append(run[1:], len(start)) - 1] + WIDTH], 1).astype("<u4") if len(run) else np.empty((0, 2), "<u4")
-    cut = np.flatnonzero(other[run])
-    return pa.table({"doc_id": pa.array(ids[run[cut]], pa.int64()), "text_hash": pa.array(names[run[cut]], pa.int64()), "spans": pa.array([x.tobytes() for x in np.split(pairs, cut[1:])] if len(cut) else [], pa.binary())})
+def met(left: pa.Table, right: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, names) of a home's texts, what its packed rows hold, and the text that each of these entries means."""
+    ids, names = (left.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+    number = dict(zip(zip(ids.tolist(), names.tolist(), strict=True), range(len(ids)), strict=True))
+    parts, places = [], []
+    for s, i, n in zip(right.column("spans"), right.column("ids"), right.column("names"), strict=True):
+        parts.append(np.frombuffer(s.as_py(), kind))
+        keys = zip(np.frombuffer(i.as_py(), np.int64).tolist(), np.frombuffer(n.as_py(), np.int64).tolist(), strict=True)
+        places.append(np.fromiter((number[k] for k in keys), np.int64)[parts[-1]["doc"]])
+    return ids, names, np.concatenate(parts), np.concatenate(places)
 
 
-def by_indexes(docs: DataFrame, found: DataFrame, parts: int, window_parts: int) -> DataFrame:
-    """Marks of open spans. Those of crowded anchors are marked by their batch's own index first, and what it
+def bits_of(asked: DataFrame) -> np.ndarray:
+    """A bitmap, of fixed size, of the texts that packed rows name."""
+
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for b in it:
+            for x in b.column(0):
+                bits[np.frombuffer(x.as_py(), np.int64) & (BITS - 1)] = True
+        parts = np.packbits(bits, bitorder="little").reshape(64, -1)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
+
+    def unite(t: pa.Table) -> pa.Table:
+        total = np.zeros(BITS // 512, np.uint8)
+        for x in t.column("bits"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"part": t.column("part").slice(0, 1).cast(pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((64, BITS // 512), np.uint8)
+    for r in asked.select("names").mapInArrow(fill, "part int, bits binary").groupBy("part").applyInArrow(unite, "part int, bits binary").toArrow().to_pylist():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel().view(np.uint64)
+
+
+def by_indexes(docs: DataFrame, found: DataFrame, homes: int, groups: int, cells: int, window_cells: int) -> DataFrame:
+    """Marks of open spans. Those of crowded anchors are marked by an index of their home's first, and what it
     leaves goes on as windows, dealt out by a hash of their bytes; the others go on whole, by anchor. An
-    index of each part marks them."""
-
-    def spans_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1000, sized=2, most=2 << 20):
-            ids, names = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = b.column(2).to_pylist()
-            flat, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-            for kind in (INDEX, WINDOWS):
-                own = [np.frombuffer(b"".join(x["spans"] for x in lists if x["kind"] == kind), SPAN) for lists in b.column(3).to_pylist()]
-                doc, span = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
-                if not len(span):
-                    continue
-                first, size = span["first"].astype(np.int64), span["more"].astype(np.int64) + WIDTH
-                if kind == INDEX:
-                    yield from cells(mixed(span["anchor"]) % np.uint64(parts), doc, first, size, base[doc] + first, flat, ids, names)
-                else:
-                    yield from batch_marks(doc, first, [texts[k][x : x + n] for k, x, n in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)], ids, names)
+    index of each cell marks them; a group has several cells, and works through them one by one."""
+
+    def spans_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return pa.Table.from_batches([record([])])
+        ids, names, span, doc = met(left, right, SPAN)
+        text = pa.chunked_array([c.cast(pa.large_binary()) for c in left.column("text").chunks]).combine_chunks()
+        base = np.frombuffer(text.buffers()[1], np.int64)[text.offset :]
+        flat = np.frombuffer(text.buffers()[2], np.uint8)
+        out = []
+        first, size = span["first"].astype(np.int64), span["more"].astype(np.int64) + WIDTH
+        own = np.flatnonzero(~span["crowded"])
+        if len(own):
+            out += dealt(span["cell"][own].astype(np.int64), doc[own], first[own], size[own], base[doc[own]] + first[own], flat, ids, names)
+        own = np.flatnonzero(span["crowded"])
+        own = own[np.argsort(doc[own], kind="stable")]
+        for _, k in _by(np.cumsum(size[own]) // _OWN, own):
+            at = base[doc[k]] + first[k]
+            out += own_marks(doc[k], first[k], [flat[x:y].tobytes() for x, y in zip(at.tolist(), (at + size[k]).tolist(), strict=True)], ids, names)
+        return pa.Table.from_batches([record(out)])
 
     def windows_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2000, sized=2, most=2 << 20):
@@ -431,70 +509,70 @@ def by_indexes(docs: DataFrame, found: DataFrame, parts: int, window_parts: int)
             raw = np.ascontiguousarray(w["bytes"]).view(np.uint8).reshape(len(w), WIDTH)
             tails = raw[:, -1].tobytes()
             strings = [raw[x].tobytes() + tails[x + 1 : y] for x, y in zip(run.tolist(), [*run[1:].tolist(), len(w)], strict=True)]
-            yield from batch_marks(doc[run], at[run], strings, b.column(0).to_numpy(), b.column(1).to_numpy())
+            rows = own_marks(doc[run], at[run], strings, b.column(0).to_numpy(), b.column(1).to_numpy())
+            if rows:
+                yield record(rows)
 
-    def batch_marks(doc: np.ndarray, first: np.ndarray, strings: list[bytes], ids: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Marks that a batch finds on its own, then cells of the windows that it leaves."""
+    def own_marks(doc: np.ndarray, first: np.ndarray, strings: list[bytes], ids: np.ndarray, names: np.ndarray) -> list[tuple]:
+        """Marks that a batch finds on its own, then the windows that it leaves."""
         hit, at, left, left_at = marked_by_index(strings, ids[doc])
-        rows = [(parts + int(k % window_parts), True, _intervals(starts).tobytes(), b"", ids[k : k + 1].tobytes(), names[k : k + 1].tobytes()) for k, starts in _by(doc[hit], first[hit] + at)]
-        if rows:
-            yield record(rows)
+        rows = [(int(k % groups), True, _intervals(starts).tobytes(), b"", ids[k : k + 1].tobytes(), names[k : k + 1].tobytes()) for k, starts in _by(doc[hit], first[hit] + at)]
         flat, base = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
         at = base[left] + left_at
         value = np.zeros(len(left), np.uint64)
         for k in range(WIDTH):
             value = value * np.uint64(_FACTOR) + _BYTE[flat[at + k]]
-        yield from cells(np.uint64(parts) + mixed(value) % np.uint64(window_parts), doc[left], first[left] + left_at, np.full(len(left), WIDTH), at, flat, ids, names)
-
-    def cells(part: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, flat: np.ndarray, ids: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Strings that start at ``at`` in ``flat``, packed by part."""
-        order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
-        part, doc, at = part[order], doc[order], at[order]
-        head = np.empty(len(part), HEAD)
-        head["doc"], head["first"], head["size"] = doc, first[order], size[order]
-        size = size[order]
-        ends = np.cumsum(size)
-        data = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        cell = (np.uint64(cells) + mixed(value) % np.uint64(window_cells)).astype(np.int64)
+        return rows + dealt(cell, doc[left], first[left] + left_at, np.full(len(left), WIDTH), at, flat, ids, names)
+
+    def dealt(cell: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, flat: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple]:
+        """Strings that start at ``at`` in ``flat``, packed by the group of their cell."""
         rows = []
-        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=False):
-            own = head[x:y].copy()
-            used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-            rows.append((int(part[x]), False, own.tobytes(), data[int(ends[x] - size[x]) : int(ends[y - 1])], ids[used].tobytes(), names[used].tobytes()))
-        if rows:
-            yield record(rows)
+        head = np.empty(len(cell), HEAD)
+        head["first"], head["size"], head["cell"] = first, size, cell // groups
+        for group, order, used, place in _dealt(cell % groups, doc):
+            own, n = head[order], size[order]
+            own["doc"] = place
+            ends = np.cumsum(n)
+            data = flat[np.repeat(at[order] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+            rows.append((group, False, own.tobytes(), data, ids[used].tobytes(), names[used].tobytes()))
+        return rows
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "settled", "heads", "bytes", "ids", "names"])
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "settled", "heads", "bytes", "ids", "names"])
 
     def look(t: pa.Table) -> pa.Table:
-        heads, ids, names, base, done, strings = [np.empty(0, HEAD)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, [], []
-        for settled, h, x, i, n in zip(t.column("settled").to_pylist(), t.column("heads"), t.column("bytes"), t.column("ids"), t.column("names"), strict=True):
-            i, n = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
-            if settled:
-                done.append((int(i[0]), int(n[0]), h.as_py()))
-                continue
-            own, x = np.frombuffer(h.as_py(), HEAD).copy(), x.as_py()
-            end = 0
-            for size in own["size"].tolist():
-                strings.append(x[end : end + size])
-                end += size
-            own["doc"] += base
-            heads.append(own)
-            ids.append(i)
-            names.append(n)
-            base += len(i)
-        head, ids, names = np.concatenate(heads), np.concatenate(ids), np.concatenate(names)
-        hit, at, _, _ = marked_by_index(strings, ids[head["doc"]])
-        own = head[hit]
-        found = marks_table(ids[own["doc"]], names[own["doc"]], own["first"] + at)
-        columns = list(zip(*done, strict=True)) or [[]] * 3
-        return pa.concat_tables([found, pa.table({c: pa.array(v, p) for c, v, p in zip(("doc_id", "text_hash", "spans"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})])
-
-    asked = found.where(F.col("kind").isin(INDEX, WINDOWS))
-    own = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "spans")).alias("spans"))
-    late = texts_of(docs, own, marked(asked, "text_hash")).select("doc_id", "text_hash", "text", "spans").mapInArrow(spans_of, CELL)
+        settled = t.column("settled").to_numpy()
+        out: list[tuple] = []
+        heads, ids, names = (t.column(c).filter(settled) for c in ("heads", "ids", "names"))
+        if len(heads):
+            pairs = [np.frombuffer(x.as_py(), "<u4").reshape(-1, 2) for x in heads]
+            ids, names = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in c]) for c in (ids, names))
+            out += packed_marks(np.repeat(np.arange(len(pairs)), list(map(len, pairs))), np.concatenate(pairs), ids, names, homes)
+        heads, data, ids, names = (t.column(c).filter(~settled) for c in ("heads", "bytes", "ids", "names"))
+        if len(heads):
+            ids, names = ([np.frombuffer(x.as_py(), np.int64) for x in c] for c in (ids, names))
+            base = np.cumsum([0, *map(len, ids)])
+            parts = [np.frombuffer(x.as_py(), HEAD) for x in heads]
+            head = np.concatenate(parts)
+            doc = head["doc"] + np.repeat(base[:-1], list(map(len, parts)))
+            ids, names, data = np.concatenate(ids), np.concatenate(names), b"".join(x.as_buffer() for x in data)
+            end = np.cumsum(head["size"], dtype=np.int64)
+            start, pairs = end - head["size"], []
+            for _, own in _by(head["cell"], np.arange(len(head))):
+                hit, at, _, _ = marked_by_index([data[x:y] for x, y in zip(start[own].tolist(), end[own].tolist(), strict=True)], ids[doc[own]])
+                if len(hit):
+                    pairs.append(_runs(doc[own[hit]] << 32 | head["first"][own[hit]] + at))
+            if pairs:
+                pairs = np.concatenate(pairs)
+                out += packed_marks(pairs[:, 0] >> 32, pairs & 0xFFFFFFFF, ids, names, homes)
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, p) for c, v, p in zip(("home", "spans", "ids", "names"), columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+
+    asked = found.where(F.col("kind") == OPEN).select("home", "spans", "ids", "names")
+    late = texts_at_home(docs, asked, homes).groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(spans_of, CELL)
     early = found.where(F.col("kind") == CUT_WINDOWS).select("doc_id", "text_hash", "spans").mapInArrow(windows_of, CELL)
     return late.unionByName(early).groupBy("part").applyInArrow(look, MARKED)
 
@@ -502,24 +580,27 @@ def by_indexes(docs: DataFrame, found: DataFrame, parts: int, window_parts: int)
 CUT = "doc_id long, text_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def cut_texts(found: DataFrame, with_text: bool) -> DataFrame:
+def cut_texts(docs: DataFrame, marks: DataFrame, homes: int, with_text: bool) -> DataFrame:
     """Removes the union of the marked intervals from each text."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 500):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, name, text, lists in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                pairs = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2).astype(np.int64)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        if right.num_rows:
+            ids, names, mark, doc = met(left, right, MARK)
+            order = np.lexsort((mark["from"], doc))
+            mark, texts = mark[order], left.column("text")
+            for k, pairs in _by(doc[order], np.stack([mark["from"], mark["to"]], 1).astype(np.int64)):
+                text = texts[k].as_py()
                 reach = np.maximum.accumulate(pairs[:, 1])
                 new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
                 lo, hi = pairs[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(pairs) - 1)]
                 kept = b"".join(text[x:y] for x, y in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True))
-                for column, value in zip(out, (doc_id, name, int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+                for column, value in zip(out, (int(ids[k]), int(names[k]), int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "text_hash", "n_removed", "n_spans", "kept_sha256", "kept"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "text_hash", "n_removed", "n_spans", "kept_sha256", "kept"), out, types, strict=True)})
 
-    return found.select("doc_id", "text_hash", "text", "spans").mapInArrow(run, CUT)
+    return texts_at_home(docs, marks, homes).groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(run, CUT)
 
 
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -537,13 +618,14 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 16_000_000)
     named = base.where("doc_id is not null").groupBy("text_hash", F.col("sha").alias("first_sha")).agg(F.min("doc_id").alias("first"))
-    found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), parts), "spans")
-    marks = found.where(F.col("kind") == MARKS).select("doc_id", "text_hash", "spans")
-    marks = marks.unionByName(by_indexes(docs, found, max(4 * parts, total // 2_000_000), max(16, total // 4_000_000)))
+    cells, window_cells = max(4 * parts, total // 2_000_000), max(16, total // 4_000_000)
+    homes = max(min(4 * parts, 64), total // 8_000_000, -(-(cells + window_cells) // 256))  # groups too: a cell's number in its group is a byte
+    found = written(meet(docs.where("doc_id is not null and octet_length(text) >= 50"), parts, homes, cells), "spans")
+    marks = found.where(F.col("kind") == MARKS).select("home", "spans", "ids", "names")
+    marks = marks.unionByName(by_indexes(docs, found, homes, homes, cells, window_cells))
     marks = written(marks, "marks")
     spent(found)
-    own = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
-    cut = cut_texts(texts_of(docs, own, marked(marks, "text_hash")), with_text).dropDuplicates(["doc_id", "text_hash"])
+    cut = cut_texts(docs, marks, homes, with_text)
     rows = spread_join(base, written(named, "firsts"), "text_hash", "left").join(cut, ["doc_id", "text_hash"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("sha") == F.col("first_sha")) & (F.col("n_bytes") >= WIDTH), F.lit(False))
     return rows.select(
