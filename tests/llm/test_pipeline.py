@@ -1,5 +1,6 @@
 import hashlib
 import importlib
+import random
 import re
 import subprocess
 import sys
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from threadloom.llm import jaccard, mixing, packing, suffix_dedup, toxicity
+from threadloom.llm import jaccard, mixing, packing, stages, suffix_dedup, toxicity
 from threadloom.llm.queries import ORACLE_SQL, QUERIES
 from threadloom.llm.shingles import Shingler
 
@@ -232,3 +233,29 @@ def test_entry_stands_alone(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "threadloom" / "llm")], check=True)
     code = "import __spark_entry__ as e; assert 'hybrid_search' in e.queries() and not [n for n in e.queries() if n.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_third_stage_packs_rows(spark, monkeypatch):
+    """Rows between texts and indexes go by pairs of home and bucket or group, not by document and part."""
+    rng = random.Random(4)
+    passage = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(1000)]
+    rows = [(k, "".join(rng.choice(passage) for _ in range(20)), "en", "web", 1800) for k in range(300)]
+    counts, write = {}, suffix_dedup.written
+
+    def kept(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        out = {r.doc_id: r.text for r in stages.cut_repeats(spark, spark.createDataFrame(rows, stages.COLUMNS), "").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(out) == 300
+    assert out[0] == rows[0][1]
+    assert sum(map(len, out.values())) < 100_000
+    assert 0 < counts["spans"] <= 4 * 16
+    assert 0 < counts["marks"] <= 16 * 16 + 4 * 16
