@@ -205,6 +205,39 @@ def test_run_length_index(seed):
     assert len(index.starts) == len(index.first_at) == len(index.last_at) < sum(len(t) + 1 for t in texts)
 
 
+@pytest.mark.parametrize("letters", [1, 2, 3, 20, 70, 255, 256])
+def test_index_of_any_alphabet(letters, monkeypatch):
+    """Suffixes are sorted in three passes, each over all of them, for strings as long as spans (six before; four
+    where a key holds few letters), and strings of any length and alphabet get the documents that brute force gives."""
+    rng = random.Random(letters)
+    alphabet = bytes(rng.sample(range(256), letters))
+    base = bytes(rng.choice(alphabet) for _ in range(400))
+    cut = lambda n: base[(x := rng.randint(0, 400 - n)) : x + n]
+    passes, sort = [], np.argsort
+
+    def counted(x, *a, **b):
+        passes.append(len(x))
+        return sort(x, *a, **b)
+
+    for sizes in ([79] * 40, [0, 1, 49, 50, 51, 300, 400] * 6, [5, 0, 3]):
+        texts = sorted({cut(n) for n in sizes})
+        docs = np.array([rng.randint(0, 20) for _ in texts])
+        monkeypatch.setattr(suffix_dedup.np, "argsort", counted)
+        passes.clear()
+        index = suffix_dedup.RunLengthIndex(texts, docs)
+        monkeypatch.undo()
+        if sizes[0] == 79:
+            n = sum(len(t) + 1 for t in texts)
+            assert passes == [n] * len(passes)
+            assert len(passes) <= (3 if letters <= 127 else 4)
+        windows = defaultdict(lambda: 99)
+        for t, d in zip(texts, docs.tolist(), strict=True):
+            for k in range(len(t) - 49):
+                windows[t[k : k + 50]] = min(d, windows[t[k : k + 50]])
+        got = {(n, k): d for n, k, d in zip(*(x.tolist() for x in index.least_of(texts)), strict=True)}
+        assert got == {(n, k): windows[t[k : k + 50]] for n, t in enumerate(texts) for k in range(len(t) - 49)}
+
+
 def test_marks_come_from_the_index(spark, monkeypatch):
     """Where the index finds nothing, nothing is removed but whole copies, hot passages included."""
     monkeypatch.setattr(suffix_dedup, "marked_by_index", lambda strings, docs: (docs[:0],) * 4)  # goes to the workers by value

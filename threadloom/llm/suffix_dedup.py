@@ -287,43 +287,56 @@ class RunLengthIndex:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + count
         data[ends] = np.arange(count)  # end marks are smaller than all bytes, each a symbol of its own
         owner = np.repeat(np.arange(count), lengths)
-        # ranks by the first 7 symbols in one sort, then by doubling; to begin with all end marks are one symbol
+        # ranks by as many symbols as one key holds, then by two or three times as many; all end marks are one symbol
         # that nothing follows, and suffixes that are equal up to there are put in the order of their strings
-        symbol, left = np.maximum(data - count, -1) + 2, ends[owner] - np.arange(n)
-        symbol = np.concatenate([symbol, np.zeros(7, np.int64)])
-        key, size, ranks = np.zeros(n, np.int64), 7, np.empty(n, np.int64)
-        for k in range(7):
-            key = key << 9 | np.where(left >= k, symbol[k : n + k], 0)
+        left = ends[owner] - np.arange(n)
+        used = np.bincount(np.maximum(data - count, -1) + 1, minlength=257)[1:] > 0
+        bits = max(1, int(used.sum()).bit_length())
+        size = min(63 // bits, WIDTH)
+        symbol = np.concatenate([np.zeros(count, np.int64), np.cumsum(used) * used])[data]
+        symbol = np.concatenate([symbol, np.zeros(size, np.int64)])
+        key, times = symbol[:n].copy(), 3 if n < (1 << 21) - 1 else 2
+        for k in range(1, size):
+            key <<= bits
+            key |= np.where(left >= k, symbol[k : n + k], 0)
+        firsts: tuple[int, np.ndarray] = (0, left)
         while True:
             order = np.argsort(key)
             sorted_ = key[order]
+            rank = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
             ranks = np.empty(n, np.int64)
-            ranks[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-            if size == 28:
-                first_28 = ranks
-            if size >= 28 and size >= int(lengths.max()):
+            ranks[order] = rank
+            if size <= WIDTH:
+                firsts = size, ranks
+            if size >= WIDTH // 3 and size >= int(lengths.max()):
                 break
-            second = np.zeros(n, np.int64)
-            second[: n - size] = np.where(left[: n - size] >= size, ranks[size:] + 1, 0)
-            key = ranks * (n + 2) + second
-            size *= 2
-        order = np.argsort(ranks * n + np.arange(n))
+            key = ranks.copy()
+            for step in range(size, times * size, size):
+                key *= n + 2
+                key[: max(0, n - step)] += np.where(left[: max(0, n - step)] >= step, ranks[step:] + 1, 0)
+            size *= times
+        order = np.sort(rank * n + order) - rank * n
         symbols = data[order - 1]
         symbols[order == 0] = data[n - 1]
         self.starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         self.heads = symbols[self.starts]
         lasts = np.append(self.starts[1:], n) - 1
-        self.by_symbol = np.lexsort((np.arange(len(self.heads)), self.heads))
-        self.sorted_key = self.heads[self.by_symbol] * (len(self.heads) + 1) + self.by_symbol
-        self.place = np.empty(len(self.heads), np.int64)
+        self.sorted_key = np.sort(self.heads * (len(self.heads) + 1) + np.arange(len(self.heads)))
+        self.by_symbol = self.sorted_key % (len(self.heads) + 1)
+        self.step = np.empty(len(self.heads), np.int64)
         lengths_of = (lasts - self.starts + 1)[self.by_symbol]
-        self.place[self.by_symbol] = np.cumsum(lengths_of) - lengths_of  # rows before, all symbols in order
+        self.step[self.by_symbol] = np.cumsum(lengths_of) - lengths_of  # rows before, all symbols in order
+        self.step -= self.starts  # from a row of the run to the row that LF gives
         self.first_at, self.last_at, self.lasts = order[self.starts], order[lasts], lasts  # sampled run ends
         self.count, self.data = count, np.concatenate([data, np.full(WIDTH, -1)])
-        # rows that begin with the same WIDTH bytes: the first 28 of them, and the last 28
-        inside = ends[owner[order]] - order >= WIDTH
-        a, b = first_28[order], first_28[np.minimum(order + WIDTH - 28, n - 1)]
-        change = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ~inside[1:] | ~inside[:-1]])
+        # rows that begin with the same WIDTH bytes: pieces that cover them, of one size, have equal ranks
+        size, ranks = firsts
+        change = np.concatenate([[True], np.zeros(n - 1, bool)])
+        inside = left[order] >= WIDTH
+        change[1:] = ~(inside[1:] & inside[:-1])
+        for step in (*range(0, WIDTH - size, size), WIDTH - size):
+            piece = ranks[np.minimum(order + step, n - 1)]
+            change[1:] |= piece[1:] != piece[:-1]
         self.samples = np.flatnonzero(change)
         # directories: the run, and the sample, that a row belongs to
         self.run_of, self.sample_of = (np.repeat(np.arange(len(x), dtype=np.int32), np.diff(np.append(x, n))) for x in (self.starts, self.samples))
@@ -357,12 +370,10 @@ class RunLengthIndex:
                 there = best >= 0
                 row[jump], length[jump] = best_row, np.maximum(best, 0)
                 run = self.run_of[row]
-                lost = np.zeros(len(live), bool)
-                lost[jump[~there]] = True  # no string has the symbol
-                row = np.where(lost, 0, self.place[run] + row - self.starts[run])
-                length = np.where(lost, 0, np.minimum(length + 1, WIDTH))
-            else:
-                row, length = self.place[run] + row - self.starts[run], np.minimum(length + 1, WIDTH)
+            row, length = row + self.step[run], np.minimum(length + 1, WIDTH)
+            if len(jump):
+                lost = jump[~there]  # no string has the symbol
+                row[lost], length[lost] = 0, 0
             yield live, at, length, row
             more = at > 0
             live, row, length, at = live[more], row[more], length[more], at[more] - 1
@@ -397,7 +408,7 @@ def marked_by_index(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     np.minimum.at(least, own, docs)
     distinct = list(number)
     string, at, smallest = RunLengthIndex(distinct, least).least_of(distinct) if distinct else (np.empty(0, np.int64),) * 3
-    order = np.argsort(string, kind="stable")
+    order = np.argsort(string.astype(np.uint16) if len(distinct) <= 1 << 16 else string, kind="stable")
     string, at, smallest = string[order], at[order], smallest[order]
     times = np.bincount(string, minlength=len(distinct))
     each = times[own]  # every holder of a string has its windows
