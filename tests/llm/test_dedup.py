@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -238,6 +239,29 @@ def test_index_of_any_alphabet(letters, monkeypatch):
         assert got == {(n, k): windows[t[k : k + 50]] for n, t in enumerate(texts) for k in range(len(t) - 49)}
 
 
+def test_index_memory_is_bounded(monkeypatch):
+    """An index takes at most 150 bytes for each byte of its strings while it is built (198 before), and windows
+    that many documents leave in one cell go into several indexes, equal ones into the same."""
+    rng = random.Random(4)
+    texts = sorted({bytes(rng.choices(b"abcdefghijklmnop ", k=79)) for _ in range(2000)})
+    tracemalloc.start()
+    suffix_dedup.RunLengthIndex(texts, np.zeros(len(texts), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 150 * sum(len(t) + 1 for t in texts)
+    monkeypatch.setattr(suffix_dedup, "_WINDOW_LOT", 5000)
+    windows = [texts[rng.randrange(2000)][:50] for _ in range(4000)]
+    flat, start = np.frombuffer(b"".join(windows), np.uint8), 50 * np.arange(4000)
+    own = np.arange(0, 4000, 2)
+    parts = list(suffix_dedup.lots(own, np.full(4000, 50, np.uint8), start, flat))
+    assert sorted(np.concatenate(parts).tolist()) == own.tolist()
+    assert len({(windows[i], k) for k, part in enumerate(parts) for i in part}) == len({windows[i] for i in own})
+    assert max(map(len, parts)) * 50 < 2 * 5000
+    sizes = np.full(4000, 50, np.uint8)
+    sizes[0] = 51  # strings of several windows stay together
+    assert [x.tolist() for x in suffix_dedup.lots(own, sizes, start, flat)] == [own.tolist()]
+
+
 def test_marks_come_from_the_index(spark, monkeypatch):
     """Where the index finds nothing, nothing is removed but whole copies, hot passages included."""
     monkeypatch.setattr(suffix_dedup, "marked_by_index", lambda strings, docs: (docs[:0],) * 4)  # goes to the workers by value

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import MARKS as BITS
-from threadloom.llm.common import batches, rows_marked, spent, spread_join, written
+from threadloom.llm.common import batches, rows_marked, spent, spread_join, worker_state, written
 from threadloom.llm.shingles import mixed, powers
 
 WIDTH, GRAM = 50, 20
@@ -129,6 +129,7 @@ def meet(docs: DataFrame, buckets: int, homes: int, cells: int) -> DataFrame:
     windows that batches leave, by document."""
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup", None, lambda: None)  # what another operator left in the worker goes
         for b in batches(it, BATCH, sized=1):
             ids, names = b.column(0).to_numpy(), b.column(2).to_numpy()
             order = np.argsort(ids, kind="stable")
@@ -286,10 +287,9 @@ class RunLengthIndex:
         ends = np.cumsum(lengths) - 1
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + count
         data[ends] = np.arange(count)  # end marks are smaller than all bytes, each a symbol of its own
-        owner = np.repeat(np.arange(count), lengths)
         # ranks by as many symbols as one key holds, then by two or three times as many; all end marks are one symbol
         # that nothing follows, and suffixes that are equal up to there are put in the order of their strings
-        left = ends[owner] - np.arange(n)
+        left = np.repeat(ends, lengths) - np.arange(n)
         used = np.bincount(np.maximum(data - count, -1) + 1, minlength=257)[1:] > 0
         bits = max(1, int(used.sum()).bit_length())
         size = min(63 // bits, WIDTH)
@@ -299,27 +299,36 @@ class RunLengthIndex:
         for k in range(1, size):
             key <<= bits
             key |= np.where(left >= k, symbol[k : n + k], 0)
+        del symbol  # an index is large for its strings: what isn't needed any more goes at once
         firsts: tuple[int, np.ndarray] = (0, left)
         while True:
             order = np.argsort(key)
             sorted_ = key[order]
-            rank = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+            rank = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+            del key, sorted_
             ranks = np.empty(n, np.int64)
             ranks[order] = rank
             if size <= WIDTH:
                 firsts = size, ranks
             if size >= WIDTH // 3 and size >= int(lengths.max()):
                 break
+            del order, rank
             key = ranks.copy()
             for step in range(size, times * size, size):
                 key *= n + 2
                 key[: max(0, n - step)] += np.where(left[: max(0, n - step)] >= step, ranks[step:] + 1, 0)
             size *= times
-        order = np.sort(rank * n + order) - rank * n
+        del ranks
+        rank *= n
+        order += rank
+        order.sort()
+        order -= rank
+        del rank
         symbols = data[order - 1]
         symbols[order == 0] = data[n - 1]
         self.starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         self.heads = symbols[self.starts]
+        del symbols
         lasts = np.append(self.starts[1:], n) - 1
         self.sorted_key = np.sort(self.heads * (len(self.heads) + 1) + np.arange(len(self.heads)))
         self.by_symbol = self.sorted_key % (len(self.heads) + 1)
@@ -337,10 +346,11 @@ class RunLengthIndex:
         for step in (*range(0, WIDTH - size, size), WIDTH - size):
             piece = ranks[np.minimum(order + step, n - 1)]
             change[1:] |= piece[1:] != piece[:-1]
+        del firsts, ranks, piece, inside, left
         self.samples = np.flatnonzero(change)
         # directories: the run, and the sample, that a row belongs to
         self.run_of, self.sample_of = (np.repeat(np.arange(len(x), dtype=np.int32), np.diff(np.append(x, n))) for x in (self.starts, self.samples))
-        self.least = np.minimum.reduceat(docs[owner[order]], self.samples)
+        self.least = np.minimum.reduceat(np.repeat(docs, lengths)[order], self.samples)
 
     def stream(self, strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of strings, of whatever origin, from their ends: batches of (string, position,
@@ -422,8 +432,29 @@ MARKED = "home int, spans binary, ids binary, names binary"
 CELL = "part int, settled boolean, heads binary, bytes binary, ids binary, names binary"
 #: A string of a group: its document among the row's, its place in there, its length (of a span, at most WIDTH + SPREAD - 1), its cell in the group.
 HEAD = np.dtype([("doc", "<u4"), ("first", "<u4"), ("size", "u1"), ("cell", "u1")])
-#: Bytes of crowded spans that are looked up in an index of their own.
-_OWN = 1 << 20
+#: Bytes of crowded spans that are looked up in an index of their own; of windows, which grow with crowded anchors and not with texts.
+_OWN, _WINDOW_LOT = 1 << 20, 1 << 19
+
+
+def window_hash(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start at ``at``."""
+    value = np.zeros(len(at), np.uint64)
+    for k in range(WIDTH):
+        value = value * np.uint64(_FACTOR) + _BYTE[flat[at + k]]
+    return mixed(value)
+
+
+def lots(own: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings of a cell as they go into indexes. Strings of one window each have nothing in common but with
+    their equals: by a hash of their bytes they go into as many indexes as hold a fixed number of bytes."""
+    many = -(-len(own) * WIDTH // _WINDOW_LOT)
+    if many > 1 and int(size[own].max()) == WIDTH:
+        for _, k in _by(mixed(window_hash(flat, start[own])) % np.uint64(many), own):
+            yield k
+    else:
+        yield own
+
+
 def packed_marks(doc: np.ndarray, pairs: np.ndarray, ids: np.ndarray, names: np.ndarray, homes: int) -> list[tuple]:
     """Byte intervals of documents, packed by home."""
     out = []
@@ -530,10 +561,7 @@ def by_indexes(docs: DataFrame, found: DataFrame, homes: int, groups: int, cells
         rows = [(int(k % groups), True, _intervals(starts).tobytes(), b"", ids[k : k + 1].tobytes(), names[k : k + 1].tobytes()) for k, starts in _by(doc[hit], first[hit] + at)]
         flat, base = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
         at = base[left] + left_at
-        value = np.zeros(len(left), np.uint64)
-        for k in range(WIDTH):
-            value = value * np.uint64(_FACTOR) + _BYTE[flat[at + k]]
-        cell = (np.uint64(cells) + mixed(value) % np.uint64(window_cells)).astype(np.int64)
+        cell = (np.uint64(cells) + window_hash(flat, at) % np.uint64(window_cells)).astype(np.int64)
         return rows + dealt(cell, doc[left], first[left] + left_at, np.full(len(left), WIDTH), at, flat, ids, names)
 
     def dealt(cell: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, flat: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple]:
@@ -555,6 +583,7 @@ def by_indexes(docs: DataFrame, found: DataFrame, homes: int, groups: int, cells
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "settled", "heads", "bytes", "ids", "names"])
 
     def look(t: pa.Table) -> pa.Table:
+        worker_state("suffix_dedup", None, lambda: None)
         settled = t.column("settled").to_numpy()
         out: list[tuple] = []
         heads, ids, names = (t.column(c).filter(settled) for c in ("heads", "ids", "names"))
@@ -572,7 +601,8 @@ def by_indexes(docs: DataFrame, found: DataFrame, homes: int, groups: int, cells
             ids, names, data = np.concatenate(ids), np.concatenate(names), b"".join(x.as_buffer() for x in data)
             end = np.cumsum(head["size"], dtype=np.int64)
             start, pairs = end - head["size"], []
-            for _, own in _by(head["cell"], np.arange(len(head))):
+            flat = np.frombuffer(data, np.uint8)
+            for own in (k for _, cell in _by(head["cell"], np.arange(len(head))) for k in lots(cell, head["size"], start, flat)):
                 hit, at, _, _ = marked_by_index([data[x:y] for x, y in zip(start[own].tolist(), end[own].tolist(), strict=True)], ids[doc[own]])
                 if len(hit):
                     pairs.append(_runs(doc[own[hit]] << 32 | head["first"][own[hit]] + at))
