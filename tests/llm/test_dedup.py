@@ -41,6 +41,21 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("few", "most"), [(100_000, 2), (40, 99), (0, 99)])
+def test_components_of_few_edges(spark, monkeypatch, few, most):
+    """Few edges are joined by one task: a long chain takes two tables that the driver has written, not one for each
+    step (over ten before). With a smaller bound, rounds come first or do all, and components are the same."""
+    rng, made = random.Random(3), []
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    monkeypatch.setattr(graph, "written", lambda df, name, put=graph.written: (made.append(name), put(df, name))[1])
+    chain = rng.sample(range(1000, 9000), 200)
+    pairs = [*zip(chain, chain[1:], strict=False)] + [(rng.randint(-90, 300), rng.randint(-90, 300)) for _ in range(150)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([*pairs, *pairs[:9], (None, 3), (7, 7)], "a long, b long")).collect()}
+    real = [p for p in pairs if p[0] != p[1]]
+    assert got == least(real, {x for p in real for x in p})
+    assert (2 if few > 9000 else 3) <= len(made) <= most
+
+
 def near_texts(rng, count):
     """Families of texts with random edits, about the threshold; sets small and large."""
     words = [f"w{k}" for k in range(4000)]

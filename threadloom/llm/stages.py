@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import jaccard, mixing, packing, suffix_dedup, toxicity
-from threadloom.llm.common import batches, table
+from threadloom.llm.common import batches, fresh_worker, table
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 _NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; the rest go. Repeated rows have one score, so all or none of
     them stay; null and empty texts stay as long as a text without any suspicious word does."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    fresh_worker()  # the driver keeps the model only
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = toxicity.scorer_of(model)
