@@ -83,3 +83,13 @@ def test_stub_embeddings_by_brute_force(spark):
     rows = entry.queries()["stub_embedding_norm"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").count()
     assert {(r.width, r.norm) for r in rows} == {(64, 1.0)}
+
+
+@pytest.mark.parametrize("layout", ["parts", "keys"])
+def test_stream_equals_batch_of_a_folder(spark, duck, tmp_path, layout):
+    """A table of several files, or with a folder for each role, gives the rows that a single file gives."""
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    writer = table.repartition(3).write if layout == "parts" else table.write.partitionBy("role")
+    writer.parquet(f"{tmp_path}/conversations.parquet")
+    rows = entry.queries()["stream_equals_batch"](spark, str(tmp_path)).select("session_id", "n_turns").collect()
+    assert sorted(map(tuple, rows)) == sorted(duck.execute(entry.oracle_sql()["stream_equals_batch"]).fetchall())

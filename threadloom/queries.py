@@ -501,7 +501,12 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(source).schema
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:10]}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(source)
+    else:  # a stream takes no single file, only the folder that holds it
+        stream = reader.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
 
     def batch(rows: DataFrame, number: int) -> None:  # a batch that is done again writes the same folder again
         rows.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
